@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, exact_dedup, quality_crf
+from . import bpe_prefix, exact_dedup, minhash, quality_crf
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(words=4))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
