@@ -5,10 +5,11 @@ orders the circle; coordinate k reads the second one shifted by k places. Bands
 bucket's members are linked through pairs whose sketches (one byte per coordinate) don't rule the threshold out, and every
 link is confirmed on the full sets of word shingles, by the words themselves.
 
-Only components are asked for, so pairs inside one component need no test. Rounds: (1) each member against its bucket's
-smallest member; (2) members of buckets that still span components against their best partners; (3) all pairs that are
-left between components. Buckets of up to `small` members expand to pairs, larger ones are compared in blocks of
-`block` members, so no task holds a whole large bucket; nothing is capped. Sets that are equal meet through a 128-bit key.
+Only components are asked for, so pairs inside one component need no test. First each member is tested against its
+bucket's smallest members that look likeliest; then, in buckets that still span components, all pairs between components.
+Buckets of up to `small` members expand to pairs; larger ones are compared in blocks of `block` members that carry their
+texts, so no task holds a whole large bucket and no large bucket emits its pairs; nothing is capped. Sets that are equal meet
+through a 128-bit key.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; texts with fewer words than a
 shingle are one shingle; rows that repeat a doc_id count as one document; null doc_ids are returned as their own component;
@@ -39,7 +40,7 @@ class Plan:
     words: int = 5
     percent: int = 80
     small: int = 8
-    block: int = 1024
+    block: int = 512
 
     @property
     def size(self) -> int:
@@ -160,9 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
             for x, y in zip(pdf["text_a"], pdf["text_b"], strict=True):
                 if x != had:
                     had, known = x, shingle_set(x, plan.words)
-                other = shingle_set(y, plan.words)
-                both = len(known & other)
-                ok.append(100 * both >= plan.percent * (len(known) + len(other) - both) and both > 0)
+                ok.append(_similar(known, shingle_set(y, plan.words), plan.percent))
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": np.array(ok, bool)})
 
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -188,11 +187,12 @@ def _likely(pairs: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
     return found.where(F.col("matches") >= plan.least_matches)
 
 
-def _in_blocks(members: DataFrame, plan: Plan, best: int | None) -> DataFrame:
-    """Likely pairs (a, b) between components inside large buckets, compared block by block.
+def _linked_in_blocks(members: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) that join components inside large buckets, found and confirmed block by block.
 
-    members: (key, doc_id, component, size, bands, sketch). A pair is told only in the first bucket that it shares.
-    best: only so many partners of a member, by matches; None: all.
+    members: (key, doc_id, component, size, bands, sketch, text). A pair is looked at only in the first bucket that it
+    shares, and not once its components have met in the block; likelier pairs come first. At most one link per
+    component and block is told, so what leaves a block grows with its members, not with its pairs.
     """
     import pandas as pd
 
@@ -200,32 +200,50 @@ def _in_blocks(members: DataFrame, plan: Plan, best: int | None) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bands", "sketch")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "bands", "sketch", "text")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, own_part = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
+        ids, comp, own_part, text = (pdf[c].to_numpy() for c in ("doc_id", "component", "own", "text"))
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
         bands = np.stack(pdf["bands"].to_numpy())
-        out = []
+        likely = [np.zeros((0, 3), np.int64)]
         left, right = (np.flatnonzero(own_part == k) for k in (key[1], key[2]))
         for at, x in enumerate(left):
             y = right[at + 1 :] if key[1] == key[2] else right
             y = y[comp[y] != comp[x]]
-            if not len(y):
-                continue
             m = (sketch[y] == sketch[x]).sum(1)
             y, m = y[m >= plan.least_matches], m[m >= plan.least_matches]
             if len(y):
-                same = bands[y] == bands[x]
-                here = bands[x][same.argmax(1)] == key[0]
-                y, m = (y[here], m[here]) if best is None else (y, m)
-                if best is not None and len(y) > best:
-                    y = y[np.argsort(-m, kind="stable")[:best]]
-                out.append(np.column_stack([np.full(len(y), ids[x]), ids[y]]))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found.min(1), "b": found.max(1)} if len(found) else {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+                here = bands[x][(bands[y] == bands[x]).argmax(1)] == key[0]
+                likely.append(np.column_stack([np.full(here.sum(), x), y[here], m[here]]))
+        pairs = np.concatenate(likely)
+        root = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        sets: dict[int, set] = {}
+        links = []
+        for x, y, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+            cx, cy = top(comp[x]), top(comp[y])
+            if cx == cy:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingle_set(text[k], plan.words)
+            if _similar(sets[x], sets[y], plan.percent):
+                root[cx] = cy
+                links.append((ids[x], ids[y]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+def _similar(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -250,24 +268,22 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     first = _likely(star, wanted, plan).withColumn("r", F.row_number().over(near)).where("r <= 2").select("a", "b")
     tested = scratch.keep(verified(first, texts, plan))
 
-    for best in (3, None):
-        label = components(tested.where("linked").select("a", "b"), scratch)
-        at = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        at = scratch.keep(at)
-        torn = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        open_ = at.join(torn, "key", "left_semi")
-        few = open_.where(F.col("size") <= plan.small)
-        pairs = (
-            few.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-            .join(few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "key")
-            .where("a < b and ca <> cb").select("a", "b").distinct()
-        )
-        pairs = _likely(pairs.join(tested, ["a", "b"], "left_anti"), wanted, plan).select("a", "b")
-        many = open_.where(F.col("size") > plan.small).join(wanted, "doc_id")
-        more = pairs.union(_in_blocks(many, plan, best).join(tested, ["a", "b"], "left_anti")).distinct()
-        tested = scratch.keep(tested.union(verified(more, texts, plan)))
-
-    label = components(tested.where("linked").select("a", "b"), scratch)
+    linked = tested.where("linked").select("a", "b")
+    label = components(linked, scratch)
+    at = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    at = scratch.keep(at)
+    torn = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    open_ = at.join(torn, "key", "left_semi")
+    few = open_.where(F.col("size") <= plan.small)
+    pairs = (
+        few.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+        .join(few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb")), "key")
+        .where("a < b and ca <> cb").select("a", "b").distinct()
+    )
+    pairs = _likely(pairs.join(tested, ["a", "b"], "left_anti"), wanted, plan).select("a", "b")
+    many = open_.where(F.col("size") > plan.small).join(wanted, "doc_id").join(texts, "doc_id")
+    more = verified(pairs, texts, plan).where("linked").select("a", "b").union(_linked_in_blocks(many, plan))
+    label = components(scratch.keep(linked.union(more)), scratch)
     rep_of = rep.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep_of, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
