@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, exact_dedup, minhash, quality_crf
+from . import bpe_prefix, exact_dedup, minhash, mixture, quality_crf
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = {("domain1",): 2.0, ("*", "en"): 4.0, ("*", "de"): 2.0, ("*", "*", "src0"): 0.5}
+    return mixture.select(table(spark, sf_dir, "documents"), mixture.Mix(weights=weights))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixture": op9_mixture,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
