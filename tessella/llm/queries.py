@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, exact_dedup, minhash, mixture, quality_crf
+from . import bpe_prefix, exact_dedup, minhash, mixture, quality_crf, toxicity_wfst
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(words=4))
 
 
+def op7_toxicity_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_wfst.score(docs, toxicity_wfst.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op7_toxicity_wfst": op7_toxicity_wfst,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixture": op9_mixture,
     "op10_byte_bpe": op10_byte_bpe,
