@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, exact_dedup, minhash, mixture, quality_crf, toxicity_wfst
+from . import bpe_prefix, exact_dedup, minhash, mixture, quality_crf, token_store, toxicity_wfst
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(words=4))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.store_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_toxicity_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_wfst.score(docs, toxicity_wfst.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_crf": op2_quality_crf,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op6_token_store": op6_token_store,
     "op7_toxicity_wfst": op7_toxicity_wfst,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixture": op9_mixture,
