@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, exact_dedup, minhash, mixture, quality_crf, token_store, toxicity_wfst
+from . import bpe_prefix, embed_dedup, exact_dedup, minhash, mixture, quality_crf, token_store, toxicity_wfst
 from .common import table
 
 
+def op1_embedding_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_crf.score(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_codes": op1_embedding_codes,
     "op2_quality_crf": op2_quality_crf,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op6_token_store": op6_token_store,
@@ -57,5 +62,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_codes": embed_dedup.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
