@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_prefix, embed_dedup, exact_dedup, minhash, mixture, quality_crf, token_store, toxicity_wfst
+from . import bpe_prefix, embed_dedup, exact_dedup, license_rules, line_dedup, minhash, mixture, quality_crf, token_store, toxicity_wfst
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(words=4))
 
 
+def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.licences(table(spark, sf_dir, "documents")).select("doc_id", "n_matches", "licences", "matches")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_codes": op1_embedding_codes,
     "op2_quality_crf": op2_quality_crf,
     "op3_circulant_minhash": op3_circulant_minhash,
+    "op4_line_spread": op4_line_spread,
+    "op5_license_rules": op5_license_rules,
     "op6_token_store": op6_token_store,
     "op7_toxicity_wfst": op7_toxicity_wfst,
     "op8_exact_dedup": op8_exact_dedup,
@@ -63,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_embedding_codes": embed_dedup.OP1_SQL,
+    "op4_line_spread": line_dedup.OP4_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
