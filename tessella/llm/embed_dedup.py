@@ -17,6 +17,7 @@ vec_id are one vector (equal or not: the first of its label and components); ext
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -107,17 +108,14 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = key[2], key[4], key[5]
-        pdf = pdf.sort_values("vec_id")
-        ids, own, copies = (pdf[c].to_numpy() for c in ("vec_id", "own", "copies"))
+    def compare(band: int, i: int, j: int, ids: np.ndarray, own: np.ndarray, copies: np.ndarray, v: np.ndarray, of_bands: np.ndarray, code: np.ndarray, factor: np.ndarray):
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        n, root = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
         if len(left) and len(right):
-            unit, bands = np.stack(pdf["v"].to_numpy()), np.stack(pdf["bands"].to_numpy())
-            packed = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
+            unit, bands = np.stack(v), np.stack(of_bands)
+            packed = np.frombuffer(b"".join(code), np.uint8).reshape(len(ids), -1)
             turned = unit[right] @ rotations(unit.shape[1], codes)[: unit.shape[1]].T
-            found, error = estimate(packed[left], pdf["factor"].to_numpy()[left], turned)
+            found, error = estimate(packed[left], factor[left], turned)
             open_ = found + codes.sigmas * error >= codes.threshold
             if i == j:
                 open_ &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
@@ -131,12 +129,31 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
                 for k in y:
                     a, b = _top(root, x), _top(root, k)
                     root[max(a, b)] = min(a, b)
-        tops = np.array([_top(root, k) for k in range(len(pdf))])
+        tops = np.array([_top(root, k) for k in range(len(ids))])
         some = n > 0
-        return pd.DataFrame({"vec_id": ids[some], "n": n[some], "top": ids[tops[some]]})
-
-    told = members.select(*bucket, "i", "j", "own", "vec_id", "copies", "v", "bands", "code", "factor").groupBy(*bucket, "i", "j")
-    told = scratch.keep(told.applyInPandas(compare, "vec_id long, n long, top long"))
+        return ids[some], n[some], ids[tops[some]]
+
+    def run(batches: Iterable) -> Iterator:
+        held = None
+        for pdf in itertools.chain(batches, [None]):
+            last = pdf is None
+            pdf = held if last else pd.concat([held, pdf], ignore_index=True) if held is not None else pdf
+            if pdf is None or not len(pdf):
+                continue
+            keys = pdf[["label", "d", "band", "number", "i", "j"]]
+            ends = np.append(np.flatnonzero((keys.iloc[1:].to_numpy() != keys.iloc[:-1].to_numpy()).any(1)) + 1, len(pdf))
+            # The last bucket of a batch may go on in the next one.
+            done = ends if last else ends[:-1]
+            held = None if last else pdf.iloc[(done[-1] if len(done) else 0) :]
+            columns = [pdf[c].to_numpy() for c in ("band", "i", "j", "vec_id", "own", "copies", "v", "bands", "code", "factor")]
+            told = [compare(*(c[a] for c in columns[:3]), *(c[a:b] for c in columns[3:])) for a, b in zip([0, *done[:-1]], done, strict=True)]
+            if told:
+                yield pd.DataFrame(dict(zip(("vec_id", "n", "top"), map(np.concatenate, zip(*told, strict=True)), strict=True)))
+
+    order = [*bucket, "i", "j"]
+    told = members.select(*order, "own", "vec_id", "copies", "v", "bands", "code", "factor")
+    told = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "vec_id")
+    told = scratch.keep(told.mapInPandas(run, "vec_id long, n long, top long"))
     label = components(told.select(F.col("vec_id").alias("a"), F.col("top").alias("b")), scratch)
     links = told.groupBy("vec_id").agg(F.sum("n").alias("n"))
     of_rep = coded.select("vec_id").join(links, "vec_id", "left").join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left")
