@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
@@ -135,6 +136,16 @@ class Shard:
         return None if at < 0 else self.ids_at(at)
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as itself if it prints, else as the next free letter from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class _Encoded(dict):
     """Ids, as bytes, of runs without white space; bounded. Runs are encoded by the tokenizers library."""
 
@@ -142,16 +153,21 @@ class _Encoded(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), f"<u{width}", most
+        # The array module's codes for unsigned integers; the files are little-endian, as are all of Spark's usual hosts.
+        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), {2: "H", 4: "I"}[width], most
+        self.model = self.tokenizer.model
 
     def __missing__(self, run: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if len(run) > 1 and run[-1] in ".,;:!?" and run[:-1].isalpha() and (run.isascii() or ("\u0130" not in run and is_normalized("NFC", run))):
+        plain = run.isascii() or ("\u0130" not in run and "\u03a3" not in run and is_normalized("NFC", run))
+        if plain and run.isalpha():
+            # One piece of letters: the normaliser only lowers it, and the model takes its bytes as letters.
+            own = run.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+            out = array(self.kind, [t.id for t in self.model.tokenize(own)]).tobytes()
+        elif len(run) > 1 and plain and run[-1] in ".,;:!?" and run[:-1].isalpha():
             # Letters and the mark behind them are pieces of their own, unless the normaliser adds marks.
             out = self[run[:-1]] + self[run[-1]]
-        elif run.isascii() and run != (low := run.lower()):
-            out = self[low]
         else:
             out = self.whole(run)
         if len(run) <= 48:
@@ -159,7 +175,8 @@ class _Encoded(dict):
         return out
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        (out,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array(self.kind, out.ids).tobytes()
 
 
 #: str.split() takes these for white space, the tokenizer does not; special tokens may hold anything.
