@@ -180,6 +180,9 @@ def train(n_lines: np.ndarray, sizes: np.ndarray, values: np.ndarray, labels: np
     flat = (np.arange(3)[None, :, None] * MEASURES + np.arange(MEASURES)[None, None, :]) * field.weights.shape[2] + columns
     y = of_line.astype(float)
     params = np.concatenate([field.weights.ravel(), field.step.ravel()])
+    # The first round sees a line by itself: with labels that never change inside a document, neighbours would decide all.
+    own = np.zeros_like(params)
+    own[: field.weights[0].size] = 1.0
     for r in range(rounds):
         first, second = np.zeros_like(params), np.zeros_like(params)
         for i in range(1, steps + 1):
@@ -187,7 +190,7 @@ def train(n_lines: np.ndarray, sizes: np.ndarray, values: np.ndarray, labels: np
             found = np.zeros((2, 2))
             np.add.at(found, (y[at].astype(int), y[at + 1].astype(int)), 1)
             slope = np.bincount(flat.ravel(), np.repeat(y - good, 3 * MEASURES), field.weights.size)
-            gradient = np.concatenate([slope, (found - expected).ravel()]) / len(y) - 1e-4 * params
+            gradient = (np.concatenate([slope, (found - expected).ravel()]) / len(y) - 1e-4 * params) * (own if r == 0 else 1.0)
             first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
             params = params + 0.15 * (first / (1 - 0.9**i)) / (np.sqrt(second / (1 - 0.99**i)) + 1e-8)
             field.weights, field.step = params[:-4].reshape(field.weights.shape), params[-4:].reshape(2, 2)

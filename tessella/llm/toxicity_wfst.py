@@ -269,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, candidates: int
         for pdf in batches:
             for t in pdf["text"]:
                 seen.update(stems_of(t))
-        yield pd.DataFrame({"stem": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+        if seen:
+            yield pd.DataFrame({"stem": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
     stems = taught.where("toxic > 0").coalesce(8).select("text").mapInPandas(count, "stem string, n long")
     stems = stems.groupBy("stem").agg(F.sum("n").alias("n")).where("n >= 2").orderBy(F.desc("n"), "stem").limit(candidates * 5)
@@ -283,7 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2500, candidates: int
         for pdf in batches:
             for t in pdf["text"]:
                 seen.update(stems_of(t) & pool.keys())
-        yield pd.DataFrame({"stem": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+        if seen:
+            yield pd.DataFrame({"stem": list(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
 
     clean = {r["stem"]: r["n"] for r in taught.where("toxic <= 0").coalesce(8).select("text").mapInPandas(count_clean, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).toLocalIterator()}
     names = sorted(pool, key=lambda s: (-(pool[s] - 2 * clean.get(s, 0)), s))[:candidates]
