@@ -296,7 +296,8 @@ def lookup(spark: SparkSession, manifest: DataFrame, folder: str, keys: DataFram
             shard = Shard(f.read())
         wanted = pdf["doc_id"].to_numpy()
         at = shard.find(wanted)
-        return pd.DataFrame({"doc_id": wanted[at >= 0], "ids": [shard.ids_at(i).astype(np.int64).tolist() for i in at[at >= 0]]})
+        ids = [shard.ids_at(i).astype(np.int64).tolist() for i in at[at >= 0]]
+        return pd.DataFrame({"doc_id": wanted[at >= 0], "ids": pd.Series(ids, dtype=object)})
 
     dealt = keys.select("doc_id").where("doc_id is not null").distinct().join(bounds, (F.col("doc_id") >= F.col("first_id")) & (F.col("next_id").isNull() | (F.col("doc_id") < F.col("next_id"))))
     return dealt.groupBy("path").applyInPandas(run, "doc_id long, ids array<long>")
