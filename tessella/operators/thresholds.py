@@ -20,8 +20,9 @@ def minmax(df: DataFrame, score: str, degenerate: float = 0.0, by: list[str] | N
 def zscore(df: DataFrame, score: str, clip: float = 3.0, name: str = "normed") -> DataFrame:
     """Population z-score, clipped and rescaled to [0, 1]; 0.5 where all are equal."""
     rows = _with_totals(df, [], mean_=F.avg(score), std_=F.stddev_pop(score))
-    z = F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(score) - F.col("mean_")) / F.when(F.col("std_") > 1e-12, F.col("std_"))))
-    return rows.withColumn(name, F.coalesce((z + clip) / (2 * clip), F.lit(0.5))).drop("mean_", "std_")
+    # greatest and least skip nulls, so the constant case is told apart outside them.
+    z = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(F.col(score) - F.col("mean_"), F.col("std_"))))
+    return rows.withColumn(name, F.when(F.col("std_") > 1e-12, (z + clip) / (2 * clip)).otherwise(F.lit(0.5))).drop("mean_", "std_")
 
 
 def softmax(df: DataFrame, score: str, by: list[str], temperature: float = 1.0, name: str = "normed") -> DataFrame:
