@@ -33,7 +33,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Plan:
-    """Bands x rows coordinates; a pair at the threshold of 0.8 is missed with probability (1 - 0.8**rows)**bands."""
+    """Bands x rows coordinates; a pair at the threshold of 0.8 is missed with probability (1 - 0.8**rows)**bands.
+
+    held: shingles that a task keeps while it confirms links in a block; beyond it they are built again when needed.
+    """
 
     bands: int = 40
     rows: int = 6
@@ -41,6 +44,7 @@ class Plan:
     percent: int = 80
     small: int = 8
     block: int = 512
+    held: int = 1_000_000
 
     @property
     def size(self) -> int:
@@ -225,14 +229,18 @@ def _linked_in_blocks(members: DataFrame, plan: Plan) -> DataFrame:
             return c
 
         sets: dict[int, set] = {}
+        held = 0
         links = []
         for x, y, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
             cx, cy = top(comp[x]), top(comp[y])
             if cx == cy:
                 continue
+            if held > plan.held:
+                sets, held = {}, 0
             for k in (x, y):
                 if k not in sets:
                     sets[k] = shingle_set(text[k], plan.words)
+                    held += len(sets[k])
             if _similar(sets[x], sets[y], plan.percent):
                 root[cx] = cy
                 links.append((ids[x], ids[y]))
