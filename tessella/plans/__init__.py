@@ -1,0 +1,5 @@
+"""All registered queries: importing the package fills queries.QUERIES and queries.ORACLES."""
+
+from . import queries, scoring
+
+__all__ = ["queries", "scoring"]

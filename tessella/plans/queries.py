@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -172,10 +172,10 @@ _SERIES = "s as (select user_id as series, row_number() over (partition by user_
 _OW = "over (partition by series order by step"
 
 
-def _series(spark: SparkSession, d: str) -> DataFrame:
+def _series(spark: SparkSession, d: str, value: Column | str = "value") -> DataFrame:
     e = _t(spark, d, "events")
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select(F.col("user_id").alias("series"), step.alias("step"), "value")
+    return e.select(F.col("user_id").alias("series"), step.alias("step"), F.col(value).alias("value") if isinstance(value, str) else value.alias("value"))
 
 
 @query(f"with {_SERIES} select *, round(avg(value) {_OW} rows between 7 preceding and current row), 6) as trailing from s")
