@@ -80,7 +80,7 @@ def costs(scores: DataFrame, eps: float = 1e-8) -> DataFrame:
 def cheapest(cost: DataFrame, k: int) -> DataFrame:
     """The k cheapest others of every row."""
     up = Window.partitionBy("a").orderBy("cost", "b")
-    return cost.where("a <> b").withColumn("rank", F.row_number().over(up)).where(F.col("rank") <= k)
+    return cost.where("a <> b").withColumn("rank", F.row_number().over(up).cast("long")).where(F.col("rank") <= k)
 
 
 def mutual_top(scores: DataFrame, k: int) -> DataFrame:
@@ -114,7 +114,7 @@ def histogram_distances(hist: DataFrame, bins: int) -> DataFrame:
 
 def zones(places: DataFrame, width: float, height: float, columns: int, rows: int) -> DataFrame:
     """(zone_x, zone_y, n, mean_score) of places(x, y, score) cut to a grid; places outside go to its rim."""
-    cut = lambda v, most, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), (v / most * n).cast("int")))
+    cut = lambda v, most, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), (v / most * n).cast("int"))).cast("long")
     at = places.select(cut(F.col("x"), width, columns).alias("zone_x"), cut(F.col("y"), height, rows).alias("zone_y"), "score")
     return at.groupBy("zone_x", "zone_y").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
