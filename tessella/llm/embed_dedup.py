@@ -146,7 +146,7 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
             done = ends if last else ends[:-1]
             held = None if last else pdf.iloc[(done[-1] if len(done) else 0) :]
             columns = [pdf[c].to_numpy() for c in ("band", "i", "j", "vec_id", "own", "copies", "v", "bands", "code", "factor")]
-            told = [compare(*(c[a] for c in columns[:3]), *(c[a:b] for c in columns[3:])) for a, b in zip([0, *done[:-1]], done, strict=True)]
+            told = [compare(*(c[a] for c in columns[:3]), *(c[a:b] for c in columns[3:])) for a, b in itertools.pairwise([0, *done])]
             if told:
                 yield pd.DataFrame(dict(zip(("vec_id", "n", "top"), map(np.concatenate, zip(*told, strict=True)), strict=True)))
 

@@ -241,3 +241,23 @@ def test_pipeline_stages_keep_columns(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert 0 < len(ids) < len(texts)
     assert all(codec.decode_bytes(x).decode() == texts[i] for i, x in ids.items())
+
+
+def test_vector_buckets_that_span_batches(spark):
+    """A bucket longer than an Arrow batch has the links of brute force."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(3, 16))
+    v = np.concatenate([c + rng.normal(size=(30, 16)) * 0.05 for c in centre])
+    rows = [(i, x.tolist(), i % 2) for i, x in enumerate(v)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    finally:
+        spark.conf.set(name, before)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    same = np.arange(len(v))[:, None] % 2 == np.arange(len(v))[None, :] % 2
+    n = ((unit @ unit.T >= 0.98) & same).sum(1) - 1
+    assert n.max() > 8
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(n.tolist()))
