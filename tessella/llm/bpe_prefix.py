@@ -27,17 +27,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class _Kept(dict):
+    """At most `most` entries in two generations: when the young one is full it turns old, and what is met again returns."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = max(1, most // 2), {}
+
+    def keep(self, key, value):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def find(self, key):
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+
 class PrefixEncoder:
     """Encodes pieces of bytes by ranks; its memory of pieces and prefixes is bounded by `most_kept` entries each."""
 
-    def __init__(self, ranks: dict[bytes, int], most_kept: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most_kept: int = 100_000):
         self.ranks, self.most_kept = ranks, most_kept
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.sizes = {i: len(b) for b, i in ranks.items()}
         self._spines: dict[int, tuple[list, list] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
-        self._tables: dict[bytes, tuple[int, ...]] = {}
+        self._tables = _Kept(most_kept)
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token, or None if merging its bytes doesn't end in the token."""
@@ -80,7 +101,7 @@ class PrefixEncoder:
         if known is None:
             x, y = self.spines(a), self.spines(b)
             known = x is not None and y is not None and not self._crossed(x[0], y[1])
-            if len(self._fits) >= 4 * self.most_kept:
+            if len(self._fits) >= 3 * self.most_kept:
                 self._fits.clear()
             self._fits[a, b] = known
         return known
@@ -125,16 +146,14 @@ class PrefixEncoder:
         """The last token of every prefix; it continues the table of a beginning seen before."""
         known, last = self._tables, []
         for end in (12, 8, 5):
-            if end <= len(piece) and (found := known.get(piece[:end])) is not None:
+            if end <= len(piece) and (found := known.find(piece[:end])) is not None:
                 last = list(found)
                 break
         had = len(last)
         self.extend(piece, last)
         for end in (5, 8, 12):
             if had < end <= len(piece):
-                if len(known) >= self.most_kept:
-                    known.clear()
-                known[piece[:end]] = tuple(last[:end])
+                known.keep(piece[:end], tuple(last[:end]))
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -182,46 +201,44 @@ class EditablePiece:
         return [whole] if whole is not None else self.encoder.tokens(self.last)
 
 
-class _Parts(dict):
-    """Ids, as bytes, of pieces that the pattern makes; bounded."""
+class _Parts(_Kept):
+    """Ids, as bytes, of pieces that the pattern makes."""
 
     def __init__(self, encoder: PrefixEncoder, most: int):
-        super().__init__()
-        self.encoder, self.most = encoder, most
+        super().__init__(most)
+        self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = out = np.array(self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        return out
+        out = self.old.get(piece)
+        if out is None:
+            out = np.array(self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        return self.keep(piece, out) if len(piece) <= 64 else out
 
 
-class _Runs(dict):
-    """Ids, as bytes, of runs between spaces; bounded."""
+class _Runs(_Kept):
+    """Ids, as bytes, of runs between spaces."""
 
     def __init__(self, parts: _Parts, pattern, most: int):
-        super().__init__()
-        self.parts, self.pattern, self.most = parts, pattern, most
+        super().__init__(most)
+        self.parts, self.pattern = parts, pattern
 
     def __missing__(self, run: str) -> bytes:
-        out = b"".join(map(self.parts.__getitem__, self.pattern.findall(run)))
-        if len(run) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[run] = out
-        return out
+        out = self.old.get(run)
+        if out is None:
+            out = b"".join(map(self.parts.__getitem__, self.pattern.findall(run)))
+        return self.keep(run, out) if len(run) <= 64 else out
 
 
 class TextCodec:
     """Whole texts to ids and back; each match of the pattern is encoded separately, without special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 100_000):
         import regex
 
         self.pattern = regex.compile(pattern)
         self.encoder = PrefixEncoder(ranks, most_kept)
-        self.parts = _Parts(self.encoder, most_kept)
-        self.runs = _Runs(self.parts, self.pattern, 2 * most_kept)
+        self.parts = _Parts(self.encoder, 2 * most_kept)
+        self.runs = _Runs(self.parts, self.pattern, most_kept)
         self.values = [self.encoder.bytes_of.get(i) for i in range(max(ranks.values(), default=-1) + 1)]
 
     def encode_bytes(self, text: str) -> bytes:

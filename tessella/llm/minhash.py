@@ -44,7 +44,7 @@ class Plan:
     percent: int = 80
     small: int = 8
     block: int = 512
-    held: int = 1_000_000
+    held: int = 250_000
 
     @property
     def size(self) -> int:
@@ -61,7 +61,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
