@@ -261,3 +261,17 @@ def test_vector_buckets_that_span_batches(spark):
     n = ((unit @ unit.T >= 0.98) & same).sum(1) - 1
     assert n.max() > 8
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(n.tolist()))
+
+
+def test_components_of_shuffled_chains(spark):
+    """Chains whose ids lie in no order settle, however long; so do stars, cycles and repeated links."""
+    from tessella.llm.common import Scratch, components
+
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(6000).tolist()
+    chains = [ids[:4000], ids[4000:5000], ids[5000:5003]]
+    links = [link for c in chains for link in zip(c, c[1:], strict=False)] + [(7000, 7000 + k) for k in range(1, 200)] + [(8001, 8000), (8002, 8001), (8000, 8002), (8000, 8001)]
+    links += [(9000, 9000), (None, 9001), (9002, None)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "chain")).collect()}
+    want = {k: min(c) for c in chains for k in c} | {k: 7000 for k in range(7000, 7200)} | {k: 8000 for k in range(8000, 8003)}
+    assert got == want
