@@ -275,3 +275,41 @@ def test_components_of_shuffled_chains(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "chain")).collect()}
     want = {k: min(c) for c in chains for k in c} | {k: 7000 for k in range(7000, 7200)} | {k: 8000 for k in range(8000, 8003)}
     assert got == want
+
+
+FULL_NOTICES = {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+}
+FULL_NOTICES["gpl-2.0-notice"] = FULL_NOTICES["gpl-3.0-notice"].replace("software:", "software;").replace("version 3", "version 2")
+FULL_NOTICES["bsd-3-clause"] = FULL_NOTICES["bsd-2-clause"] + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+@pytest.mark.parametrize("rule", sorted(FULL_NOTICES))
+@pytest.mark.parametrize("form", ["lines", "wrapped", "comment", "crlf"])
+def test_full_licence_notices(rule, form):
+    import textwrap
+
+    text = FULL_NOTICES[rule]
+    if form != "lines":
+        text = "\n".join("\n".join(textwrap.wrap(p, 72, break_long_words=False)) for p in text.split("\n"))
+    if form == "comment":
+        text = "/*\n" + "\n".join(f" * {line}" for line in text.split("\n")) + "\n */"
+    text = text.replace("\n", "\r\n") if form == "crlf" else text
+    assert [m[0] for m in license_rules.Recogniser().match(f"Own words\n\n{text}\n\nmore words")] == [rule]
