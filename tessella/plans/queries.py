@@ -381,8 +381,18 @@ def text_coherence(spark, d):
 
 @query("select conv_id, turn, round(case when greatest(length(text), length(prev)) = 0 then 1.0 else 1 - levenshtein(text, prev) / greatest(length(text), length(prev)) end, 6) as similarity from (select *, lag(text) over (partition by conv_id order by turn, role, text) as prev from (select conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') as text from conversations)) where prev is not null")
 def text_turn_similarity(spark, d):
-    plain = _t(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
-    turns = plain.withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("prev is not null")
+    """By printable ASCII characters alone, as the SQL engine's distance counts bytes."""
+    return _turn_similarity(_t(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", "")))
+
+
+@query()
+def text_turn_similarity_whole(spark, d):
+    """By all characters of both turns."""
+    return _turn_similarity(_t(spark, d, "conversations"))
+
+
+def _turn_similarity(rows: DataFrame) -> DataFrame:
+    turns = rows.withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("prev is not null")
     return _r(turns.select("conv_id", "turn", V.text_similarity(F.col("text"), F.col("prev")).alias("similarity")), "similarity")
 
 
