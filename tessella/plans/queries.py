@@ -70,53 +70,61 @@ pairs as (select a, b, avg(score) as score from ch group by 1, 2),
 best as (select least(a, b) as a, greatest(a, b) as b, max(score) as score from pairs group by 1, 2)"""
 
 
-def _channels(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("l_suppkey") % 40, F.col("l_partkey") % 40
-    return _t(spark, d, "lineitem").where(a != b).groupBy(a.alias("a"), b.alias("b"), F.col("l_returnflag").alias("channel")).agg((F.avg("l_discount") * 10).alias("score"))
+#: Identifiers of both ends of a pair.
+FOLDED = ("l_suppkey % 40", "l_partkey % 40")
+#: The real ones: even for suppliers and odd for parts, so that no two coincide.
+WHOLE = ("l_suppkey * 2", "l_partkey * 2 + 1")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _channels(spark: SparkSession, d: str, ids: tuple[str, str] = FOLDED) -> DataFrame:
+    a, b = map(F.expr, ids)
+    rows = _t(spark, d, "lineitem").where(a != b).groupBy(a.alias("a"), b.alias("b"), F.col("l_returnflag").alias("channel")).agg((F.avg("l_discount") * 10).alias("score"))
+    # The real pairs' scores are rounded, so that thresholds and ties don't hang on the order of a sum.
+    return rows if ids == FOLDED else rows.withColumn("score", F.round("score", 9))
+
+
+def _pairs(spark: SparkSession, d: str, ids: tuple[str, str] = FOLDED) -> DataFrame:
     # Rounded, so that ties don't hang on the order of a sum.
-    return _channels(spark, d).groupBy("a", "b").agg(F.avg("score").alias("score")).withColumn("score", F.round("score", 6))
+    return _channels(spark, d, ids).groupBy("a", "b").agg(F.avg("score").alias("score")).withColumn("score", F.round("score", 6))
 
 
 _PAIRS = _PAIRS.replace("avg(score) as score from ch", "round(avg(score), 6) as score from ch")
 
 
 @query(f"with {_PAIRS} select * from best")
-def pair_dedup_best(spark, d):
-    return ranking.dedup_keep_best(_pairs(spark, d))
+def pair_dedup_best(spark, d, ids=FOLDED):
+    return ranking.dedup_keep_best(_pairs(spark, d, ids))
 
 
 @query(f"with {_PAIRS}, e as (select a as id, b as other, score from best union all select b, a, score from best), r as (select *, row_number() over (partition by id order by score desc, other) as rank from e) select * from r where rank <= 5")
-def pair_top_k_both_ends(spark, d):
-    return ranking.top_k_both_ends(ranking.dedup_keep_best(_pairs(spark, d)), 5)
+def pair_top_k_both_ends(spark, d, ids=FOLDED):
+    return ranking.top_k_both_ends(ranking.dedup_keep_best(_pairs(spark, d, ids)), 5)
 
 
 @query(f"with {_PAIRS} select a, b, score, row_number() over (order by score desc, a, b) as rank from best where score >= 0.5 order by score desc, a, b limit 100")
-def pair_rank_from_one(spark, d):
-    return ranking.rank_pairs(_pairs(spark, d), 0.5, 100)
+def pair_rank_from_one(spark, d, ids=FOLDED):
+    return ranking.rank_pairs(_pairs(spark, d, ids), 0.5, 100)
 
 
 @query(f"with {_PAIRS}, e as (select a as id, score from best union all select b, score from best) select id, round(avg(score), 6) as mean_score from e group by id")
-def pair_endpoint_means(spark, d):
-    return _r(ranking.endpoint_means(ranking.dedup_keep_best(_pairs(spark, d))), "mean_score")
+def pair_endpoint_means(spark, d, ids=FOLDED):
+    return _r(ranking.endpoint_means(ranking.dedup_keep_best(_pairs(spark, d, ids))), "mean_score")
 
 
 @query(f"""with {_PAIRS}, m as (select channel, min(score) lo, max(score) hi from ch group by 1)
 select least(a, b) as a, greatest(a, b) as b, round(sum(case channel when 'A' then 0.6 when 'R' then 0.4 else 0 end * (score - lo) / (hi - lo)) / 2, 6) as score from ch join m using (channel) group by 1, 2""")
-def pair_channel_matrix(spark, d):
-    return _r(ranking.aggregate_channels(_channels(spark, d), {"A": 0.6, "R": 0.4}), "score")
+def pair_channel_matrix(spark, d, ids=FOLDED):
+    return _r(ranking.aggregate_channels(_channels(spark, d, ids), {"A": 0.6, "R": 0.4}), "score")
 
 
 @query(f"with {_PAIRS}, v as (select least(a, b) as a, greatest(a, b) as b, count(*) as votes from ch where score >= 0.5 group by 1, 2 having count(*) >= 2) select a, b, votes, round(votes / (select max(votes) from v), 6) as share from v")
-def pair_votes(spark, d):
-    return _r(ranking.pair_votes(_channels(spark, d).where("score >= 0.5"), 2), "share")
+def pair_votes(spark, d, ids=FOLDED):
+    return _r(ranking.pair_votes(_channels(spark, d, ids).where("score >= 0.5"), 2), "share")
 
 
 @query()
-def pair_greedy_matching(spark, d):
-    return ranking.greedy_matching(_channels(spark, d), ["channel"])
+def pair_greedy_matching(spark, d, ids=FOLDED):
+    return ranking.greedy_matching(_channels(spark, d, ids), ["channel"])
 
 
 # --- normalisation and thresholds over order prices ------------------------------------------------------------------
@@ -134,13 +142,13 @@ def norm_zscore(spark, d):
 
 
 @query(f"with {_PAIRS}, m as (select a, max(score) t from pairs group by a), e as (select pairs.a, b, exp(score - t) as x from pairs join m on pairs.a = m.a) select a, b, round(x / sum(x) over (partition by a), 6) as normed from e")
-def norm_softmax_rows(spark, d):
-    return _r(thresholds.softmax(_pairs(spark, d), "score", ["a"]).select("a", "b", "normed"), "normed")
+def norm_softmax_rows(spark, d, ids=FOLDED):
+    return _r(thresholds.softmax(_pairs(spark, d, ids), "score", ["a"]).select("a", "b", "normed"), "normed")
 
 
 @query(f"with {_PAIRS} select a, b, round(case when abs(max(score) over (partition by a)) < 1e-12 then 0 else score / max(score) over (partition by a) end, 6) as normed from pairs")
-def norm_row_max(spark, d):
-    return _r(thresholds.row_normalise(_pairs(spark, d), "score", ["a"], "max").select("a", "b", "normed"), "normed")
+def norm_row_max(spark, d, ids=FOLDED):
+    return _r(thresholds.row_normalise(_pairs(spark, d, ids), "score", ["a"], "max").select("a", "b", "normed"), "normed")
 
 
 @query("select round(quantile_cont(o_totalprice, 0.95), 6) as threshold from orders")
@@ -429,15 +437,15 @@ def kernel_dtw(spark, d):
 
 
 @query()
-def kernel_greedy_sequence(spark, d):
-    return kernels.greedy_sequence(_channels(spark, d).select("channel", F.col("a").alias("i"), F.col("b").alias("j"), "score"), ["channel"])
+def kernel_greedy_sequence(spark, d, ids=FOLDED):
+    return kernels.greedy_sequence(_channels(spark, d, ids).select("channel", F.col("a").alias("i"), F.col("b").alias("j"), "score"), ["channel"])
 
 
 # --- flagship: vectors to fused ranking ------------------------------------------------------------------------------
 @query(f"""with {_QV}, r as (select a, b, list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) as c, list_distance(x, y) as d from q join v on a <> b),
 t as (select quantile_cont(c, 0.95) as t from r), k as (select a, b, row_number() over (partition by a order by c desc, b) as rc, row_number() over (partition by a order by d, b) as rd from r, t where c >= t)
 select a, b, round(1.0 / (60 + rc) + 1.0 / (60 + rd), 6) as fused from k where rc <= 5""")
-def match_stage(spark, d):
+def match_stage(spark, d, ids=FOLDED):
     """Score, threshold, rank and fuse: the engine's matching stage from load to ranking."""
     rows = _query_pairs(spark, d).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("c"), V.euclidean(F.col("x"), F.col("y")).alias("d"))
     cut = F.broadcast(rows.agg(F.expr("percentile(c, 0.95)").alias("t")))

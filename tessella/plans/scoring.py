@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import evaluation, scoring, text, thresholds
-from .queries import _OW, _PAIRS, _SERIES, _channels, _pairs, _r, _series, _t, query
+from .queries import FOLDED, _OW, _PAIRS, _SERIES, _channels, _pairs, _r, _series, _t, query
 
 _WEIGHTS = {"A": 0.6, "R": 0.3}
 _CH = f"{_PAIRS}, c as (select a, b, channel, round(score, 6) as score from ch)"
 
 
-def _ch(spark: SparkSession, d: str) -> DataFrame:
-    return _channels(spark, d).withColumn("score", F.round("score", 6))
+def _ch(spark: SparkSession, d: str, ids: tuple[str, str] = FOLDED) -> DataFrame:
+    return _channels(spark, d, ids).withColumn("score", F.round("score", 6))
 
 
 def _w(missing: float) -> str:
@@ -23,64 +23,64 @@ def _w(missing: float) -> str:
 
 @query(f"""with {_CH} select a, b, round(avg(score), 6) as mean, min(score) as low, max(score) as high, round(median(score), 6) as median,
 round(exp(sum(ln(greatest(score, 1e-9)))), 6) as product, round(count(*) / sum(1 / greatest(score, 1e-9)), 6) as harmonic, round(exp(avg(ln(greatest(score, 1e-9)))), 6) as geometric from c group by a, b""")
-def score_strategies(spark, d):
-    return _r(scoring.strategies(_ch(spark, d)), "mean", "median", "product", "harmonic", "geometric")
+def score_strategies(spark, d, ids=FOLDED):
+    return _r(scoring.strategies(_ch(spark, d, ids)), "mean", "median", "product", "harmonic", "geometric")
 
 
 @query(f"with {_CH} select a, b, round(greatest(0, least(1, sum({_w(1.0)} * score) / sum({_w(1.0)}))), 6) as score from c group by a, b")
-def score_weighted_combine(spark, d):
-    return _r(scoring.weighted_combine(_ch(spark, d), _WEIGHTS), "score")
+def score_weighted_combine(spark, d, ids=FOLDED):
+    return _r(scoring.weighted_combine(_ch(spark, d, ids), _WEIGHTS), "score")
 
 
 @query(f"with {_CH}, s as (select a, b, sum({_w(0.0)} * greatest(0, least(1, score))) / (sum({_w(0.0)}) + 1e-12) as score from c group by a, b) select a, b, round(score, 6) as score, score >= 0.7 as confident from s")
-def score_match(spark, d):
-    return _r(scoring.match_score(_ch(spark, d), _WEIGHTS), "score")
+def score_match(spark, d, ids=FOLDED):
+    return _r(scoring.match_score(_ch(spark, d, ids), _WEIGHTS), "score")
 
 
 @query(f"with {_CH} select a, b, round(sum({_w(1.0)} * case when score >= 0.5 then score else 0 end) / sum({_w(1.0)}), 6) as evidence, count(*) filter (score >= 0.5) as n_used from c group by a, b")
-def score_evidence(spark, d):
-    return _r(scoring.evidence(_ch(spark, d), _WEIGHTS, 0.5), "evidence")
+def score_evidence(spark, d, ids=FOLDED):
+    return _r(scoring.evidence(_ch(spark, d, ids), _WEIGHTS, 0.5), "evidence")
 
 
 @query(f"with {_CH}, r as (select *, row_number() over (partition by channel order by score desc, a, b) - 1 as r, count(*) over (partition by channel) as n from c) select a, b, round(1 - avg(case when n > 1 then r / (n - 1) else 0 end), 6) as score from r group by a, b")
-def score_rank_combine(spark, d):
-    return _r(scoring.rank_combine(_ch(spark, d)), "score")
+def score_rank_combine(spark, d, ids=FOLDED):
+    return _r(scoring.rank_combine(_ch(spark, d, ids)), "score")
 
 
 @query(f"with {_PAIRS} select a, b, round(case when count(*) over (partition by a) > 1 then (row_number() over (partition by a order by score, b) - 1) / (count(*) over (partition by a) - 1) else 0 end, 6) as normed from pairs")
-def norm_rank_rows(spark, d):
-    return _r(scoring.rank_in_rows(_pairs(spark, d), "score", ["a"], ["b"]).select("a", "b", "normed"), "normed")
+def norm_rank_rows(spark, d, ids=FOLDED):
+    return _r(scoring.rank_in_rows(_pairs(spark, d, ids), "score", ["a"], ["b"]).select("a", "b", "normed"), "normed")
 
 
 @query(f"with {_PAIRS} select a, b, round(1 / (1 + exp(-4.0 * (score - 0.5))), 6) as normed from pairs")
-def norm_sigmoid(spark, d):
-    return _r(_pairs(spark, d).select("a", "b", scoring.sigmoid(F.col("score"), 4.0, 0.5).alias("normed")), "normed")
+def norm_sigmoid(spark, d, ids=FOLDED):
+    return _r(_pairs(spark, d, ids).select("a", "b", scoring.sigmoid(F.col("score"), 4.0, 0.5).alias("normed")), "normed")
 
 
 _COST = f"{_PAIRS}, m as (select min(score) lo, max(score) hi from pairs), k as (select a, b, 1 - (score - lo) / (hi - lo + 1e-8) as cost from pairs, m)"
 
 
 @query(f"with {_COST} select a, b, round(cost, 6) as cost from k")
-def cost_matrix(spark, d):
-    return _r(scoring.costs(_pairs(spark, d)), "cost")
+def cost_matrix(spark, d, ids=FOLDED):
+    return _r(scoring.costs(_pairs(spark, d, ids)), "cost")
 
 
 @query(f"with {_COST}, r as (select *, row_number() over (partition by a order by cost, b) as rank from k) select a, b, round(cost, 6) as cost, rank from r where rank <= 3")
-def cost_cheapest(spark, d):
-    return _r(scoring.cheapest(scoring.costs(_pairs(spark, d)), 3), "cost")
+def cost_cheapest(spark, d, ids=FOLDED):
+    return _r(scoring.cheapest(scoring.costs(_pairs(spark, d, ids)), 3), "cost")
 
 
 @query(f"""with {_CH}, p as (select channel, least(a, b) as a, greatest(a, b) as b, round(greatest(0, least(1, avg(score))), 6) as score from c group by 1, 2, 3),
 e as (select * from p union all select channel, b, a, score from p), r as (select *, row_number() over (partition by channel, a order by score desc, b) as r from e),
 o as (select channel, least(a, b) as a, greatest(a, b) as b, max(score) as score from r where r <= 5 group by 1, 2, 3)
 select a, b, round(avg(score), 6) as score, count(*) as n_channels from o group by a, b""")
-def match_mutual_top(spark, d):
-    return _r(scoring.mutual_top(_ch(spark, d), 5), "score")
+def match_mutual_top(spark, d, ids=FOLDED):
+    return _r(scoring.mutual_top(_ch(spark, d, ids), 5), "score")
 
 
 @query(f"with {_PAIRS}, n as (select count(distinct x) as n from (select a as x from pairs union all select b from pairs)) select round(avg((score = 0)::int), 6) as zeros, round(1 - count(*) filter (score > 0.5) / max(n.n * (n.n - 1)), 6) as sparsity from pairs, n")
-def matrix_sparsity(spark, d):
-    return _r(scoring.sparsity(_pairs(spark, d), 0.5), "zeros", "sparsity")
+def matrix_sparsity(spark, d, ids=FOLDED):
+    return _r(scoring.sparsity(_pairs(spark, d, ids), 0.5), "zeros", "sparsity")
 
 
 _HIST = "h as (select event_type as name, least(19, greatest(0, floor(value / 10)))::bigint as bin, count(*) as n from events where value is not null group by 1, 2)"

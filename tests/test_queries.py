@@ -113,3 +113,10 @@ def test_whole_turns_are_compared(spark, tmp_path):
     want = {(c, k + 1): 1.0 if not (n := max(len(a), len(b))) else 1 - distance(a, b) / n for c, talk in enumerate(talks) for k, (a, b) in enumerate(zip(talk, talk[1:], strict=False))}
     assert got == {k: round(v, 6) for k, v in want.items()}
     assert got[(0, 1)] < 0.5 and got[(1, 1)] == 0 and got[(2, 1)] < 1
+
+
+def test_whole_pairs_are_all_there(spark):
+    pairs = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().count()
+    assert queries.QUERIES["whole_norm_sigmoid"](spark, SF).count() == pairs > 1560
+    whole = {n for n in queries.QUERIES if n.startswith("whole_")}
+    assert len(whole) == 22 and not any("% 40" in queries.ORACLES.get(n, "") for n in whole)
