@@ -5,20 +5,22 @@ prefix makes appends exact (the table only grows) and lets an edit re-encode onl
 A token fits behind its predecessor if no merge across their border would have come before the merges that built
 both; the check walks the two tokens' inner spines and is remembered per pair.
 
-Defined results: null texts count as empty and give no ids; ids that the vocabulary lacks raise KeyError on decoding.
+Defined results: null texts count as empty and give no ids; every row is encoded by itself, so repeated rows and doc_ids, null doc_ids
+and ties need no rule; very long texts are encoded whole, in pieces; extra columns, whatever their names, are ignored; an empty table
+gives an empty result; ids that the vocabulary lacks raise ValueError on decoding, and a vocabulary that lacks a byte of a text raises KeyError.
 """
 
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-#: A space before white space or at the end: only then can't a text be cut before each of its spaces.
-_UNEVEN = re.compile(r" (?:\s|\Z)|\A\s")
+from .common import lean, slices, worker_table
+
 NEVER = 1 << 60
 
 
@@ -27,38 +29,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class _Kept(dict):
-    """At most `most` entries in two generations: when the young one is full it turns old, and what is met again returns."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = max(1, most // 2), {}
-
-    def keep(self, key, value):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-    def find(self, key):
-        value = self.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.keep(key, value)
-        return value
-
-
 class PrefixEncoder:
-    """Encodes pieces of bytes by ranks; its memory of pieces and prefixes is bounded by `most_kept` entries each."""
+    """Encodes pieces of bytes by ranks; its memory of pairs of tokens is bounded by `most_kept` entries."""
 
-    def __init__(self, ranks: dict[bytes, int], most_kept: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most_kept: int = 300_000):
         self.ranks, self.most_kept = ranks, most_kept
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.sizes = {i: len(b) for b, i in ranks.items()}
         self._spines: dict[int, tuple[list, list] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
-        self._tables = _Kept(most_kept)
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts whose merge makes the token, or None if merging its bytes doesn't end in the token."""
@@ -75,23 +55,22 @@ class PrefixEncoder:
         return (parts[0], parts[1])
 
     def spines(self, token: int) -> tuple[list, list] | None:
-        """Right and left spine of a token: (bytes, rank at which it is merged away), outermost first; None: never made."""
+        """Right and left spine of a token, outermost first: (bytes, rank of its own merge, rank at which it is merged away); None: never made."""
         if token in self._spines:
             return self._spines[token]
         whole = self.bytes_of[token]
-        right, left = [(whole, NEVER)], [(whole, NEVER)]
+        own = token if len(whole) > 1 else -1
+        right, left = [(whole, own, NEVER)], [(whole, own, NEVER)]
         made: tuple[list, list] | None = (right, left)
         if len(whole) > 1:
             halves = self._halves(whole)
-            if halves is None:
+            inner = None if halves is None else (self.spines(self.ranks[halves[0]]), self.spines(self.ranks[halves[1]]))
+            if inner is None or inner[0] is None or inner[1] is None:
                 made = None
             else:
-                inner_left, inner_right = self.spines(self.ranks[halves[0]]), self.spines(self.ranks[halves[1]])
-                if inner_left is None or inner_right is None:
-                    made = None
-                else:
-                    right += [(halves[1], token), *inner_right[0][1:]]
-                    left += [(halves[0], token), *inner_left[1][1:]]
+                (first, made_first, _), (last, made_last, _) = inner[0][1][0], inner[1][0][0]
+                right += [(last, made_last, token), *inner[1][0][1:]]
+                left += [(first, made_first, token), *inner[0][1][1:]]
         self._spines[token] = made
         return made
 
@@ -101,39 +80,37 @@ class PrefixEncoder:
         if known is None:
             x, y = self.spines(a), self.spines(b)
             known = x is not None and y is not None and not self._crossed(x[0], y[1])
-            if len(self._fits) >= 3 * self.most_kept:
+            if len(self._fits) >= self.most_kept:
                 self._fits.clear()
             self._fits[a, b] = known
         return known
 
     def _crossed(self, right: list, left: list) -> bool:
         # Leftmost first among equal ranks: a tie is lost to the left token's own merge, won against the right one's.
-        ranks = self.ranks
-        begins_x = [ranks.get(p, -1) if len(p) > 1 else -1 for p, _ in right]
-        begins_y = [ranks.get(p, -1) if len(p) > 1 else -1 for p, _ in left]
-        for (x, end_x), begin_x in zip(right, begins_x, strict=True):
-            for (y, end_y), begin_y in zip(left, begins_y, strict=True):
-                if begin_y >= end_x or begin_x >= end_y:
-                    continue  # never side by side
-                r = ranks.get(x + y)
-                if r is not None and r < end_x and r <= end_y:
-                    return True
+        rank_of = self.ranks.get
+        for x, begin_x, end_x in right:
+            for y, begin_y, end_y in left:
+                if begin_y < end_x and begin_x < end_y:  # else never side by side
+                    r = rank_of(x + y)
+                    if r is not None and r < end_x and r <= end_y:
+                        return True
         return False
 
     def extend(self, piece: bytes, last: list[int], upto: int | None = None) -> None:
         """Fills last[i], the last token of piece[:i + 1], from where the table ends."""
-        ranks, known, sizes = self.ranks, self._fits, self.sizes
-        for end in range(len(last) + 1, (len(piece) if upto is None else upto) + 1):
-            # One token fits only, so the order of trial is free: first the longer last token, then the byte alone.
-            grown = end - sizes[last[-1]] - 1 if last else 0
-            for begin in (grown, end - 1, *range(max(0, end - self.longest), end - 1)):
-                token = ranks.get(piece[begin:end])
+        token_of, known, sizes = self.ranks.get, self._fits.get, self.sizes
+        for at in range(len(last), len(piece) if upto is None else upto):
+            # One token fits only, so the order of trial is free: first the last token grown by the byte, then the byte alone.
+            end, grown = at + 1, at - sizes[last[-1]] if last else 0
+            for begin in (grown, at, *range(at - 1, max(0, end - self.longest) - 1, -1)) if grown < at else (at,):
+                token = token_of(piece[begin:end])
                 if token is None:
                     continue
                 if begin:
-                    ok = known.get((last[begin - 1], token))
+                    pair = (last[begin - 1], token)
+                    ok = known(pair)
                     if ok is None:
-                        ok = self.fits(last[begin - 1], token)
+                        ok = self.fits(*pair)
                 else:
                     ok = self.spines(token) is not None
                 if ok:
@@ -143,17 +120,9 @@ class PrefixEncoder:
                 raise KeyError(f"no token ends at byte {end}")
 
     def table(self, piece: bytes) -> list[int]:
-        """The last token of every prefix; it continues the table of a beginning seen before."""
-        known, last = self._tables, []
-        for end in (12, 8, 5):
-            if end <= len(piece) and (found := known.find(piece[:end])) is not None:
-                last = list(found)
-                break
-        had = len(last)
+        """The last token of every prefix."""
+        last: list[int] = []
         self.extend(piece, last)
-        for end in (5, 8, 12):
-            if had < end <= len(piece):
-                known.keep(piece[:end], tuple(last[:end]))
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -201,61 +170,54 @@ class EditablePiece:
         return [whole] if whole is not None else self.encoder.tokens(self.last)
 
 
-class _Parts(_Kept):
-    """Ids, as bytes, of pieces that the pattern makes."""
+class _Parts(dict):
+    """Ids, as bytes, of pieces that the pattern makes, in two generations: when the young one has half of `most` entries it
+    turns old, and what is met again returns."""
 
     def __init__(self, encoder: PrefixEncoder, most: int):
-        super().__init__(most)
-        self.encoder = encoder
+        super().__init__()
+        self.encoder, self.young, self.old = encoder, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = np.array(self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-        return self.keep(piece, out) if len(piece) <= 64 else out
-
-
-class _Runs(_Kept):
-    """Ids, as bytes, of runs between spaces."""
-
-    def __init__(self, parts: _Parts, pattern, most: int):
-        super().__init__(most)
-        self.parts, self.pattern = parts, pattern
-
-    def __missing__(self, run: str) -> bytes:
-        out = self.old.get(run)
-        if out is None:
-            out = b"".join(map(self.parts.__getitem__, self.pattern.findall(run)))
-        return self.keep(run, out) if len(run) <= 64 else out
+            out = array("I", self.encoder.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.young:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
+        return out
 
 
 class TextCodec:
-    """Whole texts to ids and back; each match of the pattern is encoded separately, without special tokens."""
+    """Whole texts to ids and back; each match of the pattern, any pattern, is encoded separately, without special tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_kept: int = 300_000):
         import regex
 
         self.pattern = regex.compile(pattern)
         self.encoder = PrefixEncoder(ranks, most_kept)
-        self.parts = _Parts(self.encoder, 2 * most_kept)
-        self.runs = _Runs(self.parts, self.pattern, most_kept)
+        self.parts = _Parts(self.encoder, most_kept)
         self.values = [self.encoder.bytes_of.get(i) for i in range(max(ranks.values(), default=-1) + 1)]
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _UNEVEN.search(text):
+        if len(text) <= 1 << 20:
             return b"".join(map(self.parts.__getitem__, self.pattern.findall(text)))
-        # Every space is followed by a character that is none: no match crosses the border before a space.
-        first, *rest = text.split(" ")
-        return self.runs[first] + b"".join(map(self.runs.__getitem__, [" " + x for x in rest]))
+        out = bytearray()
+        for m in self.pattern.finditer(text):
+            out += self.parts[m.group()]
+        return bytes(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode_bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.values.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        try:
+            return b"".join(map(self.values.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        except (IndexError, TypeError):
+            raise ValueError("the ids hold one that the vocabulary lacks") from None
 
 
 class EditableText:
@@ -297,14 +259,9 @@ class EditableText:
         return b"".join(self.ids)
 
 
-_CODECS: dict[tuple[str, str], TextCodec] = {}
-
-
 def codec(path: str, pattern: str) -> TextCodec:
-    """One codec a Python process: its tables serve all the tasks that the worker runs."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = TextCodec(read_ranks(path), pattern)
-    return _CODECS[path, pattern]
+    """One codec a Python process: its tables serve the tasks that the worker runs one after another."""
+    return worker_table(("byte BPE", path, pattern), lambda: TextCodec(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -319,7 +276,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(run(batches)), f"doc_id {kind}, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -330,20 +287,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for b in batches:
-            n, one, two = [], [], []
-            for t in b.column("text"):
-                ids = c.encode_bytes(t.as_py() or "")
-                n.append(len(ids) // 4)
-                one.append(hashlib.sha256(ids).hexdigest())
-                two.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in batches:
+            for b in slices(batch):
+                n, one, two = [], [], []
+                for t in b.column("text"):
+                    ids = c.encode_bytes(t.as_py() or "")
+                    n.append(len(ids) // 4)
+                    one.append(hashlib.sha256(ids).hexdigest())
+                    two.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def slices(batch, rows: int = 256):
-    """A batch in parts of a few rows, so that what is made of long texts stays small."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: lean(run(batches)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

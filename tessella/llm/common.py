@@ -1,42 +1,41 @@
-"""Helpers shared by the training-data operators: shared storage, checkpoints, components."""
+"""Helpers shared by the training-data operators: shared storage, worker memory, row decisions, components."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/tessella-checkpoints"
 
 #: The white space of the contracts, as a Java or Python character class.
 WS = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if conf is None:
-        current = spark.sparkContext.getCheckpointDir()
-        conf = current or LOCAL_CHECKPOINTS
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
+    """The folder that the driver and all executors share: spark.checkpoint.dir, which a cluster has to name.
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    Only a session whose executors live in the driver's process may go without it, as in tests.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessella-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, read again after any executor's loss."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Hadoop deletes what stands there when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -46,12 +45,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one run in the shared folder, which can be dropped as soon as they were used."""
+    """Tables of one run in the shared folder: dropped as soon as they were used, the last ones when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, fresh_path(spark, name), 0
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """The rows as a written table: computed once, read again after any executor's loss."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
@@ -72,8 +72,63 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
-def map_pandas(df: DataFrame, fn: Callable[[Iterable], Iterable], schema: str | StructType) -> DataFrame:
-    return df.mapInPandas(fn, schema)
+_HELD: dict[Any, Any] = {}
+
+
+def worker_table(key: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for its next task: the tables of one operator, so those of another one make room."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def lean(parts: Iterable[Any]) -> Iterator[Any]:
+    """The items; behind the last one the worker gives freed memory back, as it lives on beside the next tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from parts
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
+def slices(batch, rows: int = 256, most_bytes: int = 4 << 20) -> Iterator[Any]:
+    """A batch in parts of a few rows and, beyond single long rows, few bytes."""
+    if not batch.num_rows:
+        return
+    rows = max(1, min(rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that tell the rows of a table apart by doc_id and text, nulls included; equal rows share theirs."""
+    return F.struct(F.xxhash64(doc_id, text).alias("x"), F.xxhash64(F.lit(11), doc_id, text).alias("y"))
+
+
+def staying_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of docs whose verdict is kept, with all their columns.
+
+    verdicts: (row_key, kept), a row for each of docs' rows. Of rows with equal doc_id and text either all stay or, as they are
+    copies, one. Nearly all rows are only filtered; the others are few and are dealt out by their key.
+    """
+    scratch = Scratch(docs.sparkSession, "staying")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    less = scratch.keep(verdicts.groupBy("row_key").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("n")).where("stay < n"))
+    plain = docs.toDF(*names).withColumn("row_key", row_key(F.col(at["doc_id"]).cast("long"), F.col(at["text"])))
+    left = plain.join(less, "row_key", "left_anti")
+    doubled = less.where("stay > 0")
+    if not is_empty(doubled):
+        left = left.unionByName(plain.join(doubled, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return left.select(*names).toDF(*docs.columns)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -81,24 +136,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Large-star and small-star in turn until every component is one star: rounds grow at most with the squared
     logarithm of the number of nodes, whatever the order of ids (Kiveris et al., 2014). Edges never grow in
-    number, and every step is written to the shared folder. A hub's rows are combined before the shuffle (min is
-    partial), so a large star does not meet in one task. Nulls and self-links are ignored.
+    number, and every step is written to the shared folder. Smallest neighbours are combined before the shuffle and written,
+    so that the joins with them shuffle both sides: a hub's rows then are a skewed partition that Spark splits.
+    Nulls and self-links are ignored.
     """
     both = edges.where("a is not null and b is not null and a <> b")
     star = scratch.keep(both.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    lowest = lambda e: e.groupBy("hi").agg(F.min("lo").alias("m"))
+    lowest = lambda e: scratch.keep(e.groupBy("hi").agg(F.min("lo").alias("m")))
     while not _are_stars(star):
         # Large-star: the larger neighbours of a node go to its smallest one.
-        large = scratch.keep(star.join(lowest(star).withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
+        low = lowest(star)
+        large = scratch.keep(star.join(low.withColumnRenamed("hi", "lo"), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
+        scratch.drop(star, low)
         # Small-star: the smaller ones and the node itself do.
         low = lowest(large)
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        small = scratch.keep(small.union(low.select("hi", "m")).distinct())
-        scratch.drop(star, large)
-        star = small
-    return scratch.keep(star.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(star.select("lo", "lo").distinct()))
+        star = scratch.keep(small.union(low.select("hi", "m")).distinct())
+        scratch.drop(large, low)
+    out = scratch.keep(star.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(star.select("lo", "lo").distinct()))
+    scratch.drop(star)
+    return out
 
 
 def _are_stars(edges: DataFrame) -> bool:
     """Whether every hi has one lo, and no lo is a hi."""
-    return is_empty(edges.groupBy("hi").count().where("count > 1")) and is_empty(edges.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi"))
+    return is_empty(edges.groupBy("hi").count().where("count > 1")) and is_empty(edges.select("lo").distinct().intersect(edges.select("hi").distinct()))

@@ -7,16 +7,18 @@ folds repeated chunks before the shuffle. Documents are then compared as ordered
 If two contents should share an identifier, the store numbers its contents, and the recipes that hold it carry the number.
 
 Defined results: null texts count as empty; an empty text has an empty recipe, so all of them are equal; a null doc_id
-ranks after all others; rows that repeat a doc_id count in group_size and all carry the same verdict; extra columns are
-ignored by `recipes` and kept by `drop_copies`.
+ranks after all others. Of equal texts exactly one row stays: rows with the same length and doc_id are told apart by
+their original text (a hash of it), and of rows equal in both any one stays. Very long texts are lists of many chunks and are never moved
+as a whole for comparison. Extra columns, whatever their names, are ignored by `exact_groups` and kept by `drop_copies`; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, is_empty
+from .common import WS, Scratch, is_empty, row_key, staying_rows
 
 #: A cut follows two characters of this class (code points that are 3 modulo 16 in ASCII and Latin-1).
 CUT_CLASS = "[#3CScs£³ÃÓãó]"
@@ -32,75 +34,72 @@ def chunks_of(norm: Column, least: int = 256, most: int = 1024) -> Column:
     return F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
 
 
-def chunk_store(docs: DataFrame, id_bits: int = 64) -> DataFrame:
-    """(chunk_id, variant, chunk): every distinct chunk once; variant is 0 unless identifiers collide."""
-    from pyspark.sql import Window
-
-    found = docs.select(F.explode(chunks_of(normalised(F.col("text")))).alias("chunk"))
-    store = found.select(_id(F.col("chunk"), id_bits).alias("chunk_id"), "chunk").distinct()
-    return store.withColumn("variant", F.row_number().over(Window.partitionBy("chunk_id").orderBy("chunk")) - 1)
-
-
 def _id(chunk: Column, bits: int) -> Column:
     h = F.xxhash64(chunk)
     return h if bits == 64 else h.bitwiseAND((1 << bits) - 1)
 
 
-def ambiguous_ids(docs: DataFrame, id_bits: int = 64) -> DataFrame:
-    """Identifiers that stand for more than one content; none, as a rule."""
+def chunk_store(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """(chunk_id, chunk): every distinct chunk of the texts once."""
     found = docs.select(F.explode(chunks_of(normalised(F.col("text")))).alias("chunk"))
-    store = found.select(_id(F.col("chunk"), id_bits).alias("chunk_id"), "chunk").distinct()
-    return store.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")
+    return found.select(_id(F.col("chunk"), id_bits).alias("chunk_id"), "chunk").distinct()
+
+
+def variants(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """(chunk_id, chunk, variant) of the identifiers that stand for more than one content; none, as a rule."""
+    store = chunk_store(docs, id_bits)
+    twofold = store.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select("chunk_id")
+    numbered = Window.partitionBy("chunk_id").orderBy("chunk")
+    return store.join(twofold, "chunk_id").withColumn("variant", F.row_number().over(numbered) - 1)
 
 
-def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
-    """(doc_id, n_points, text_sha256, recipe) with verified identifiers, one row per input row."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def recipes(docs: DataFrame, scratch: Scratch, id_bits: int = 64) -> DataFrame:
+    """(node, row_key, doc_id, n_points, text_sha256, recipe) with verified identifiers, one written row per input row."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     norm = F.col("norm")  # a column of its own, so that it is made once
     plain = base.withColumn("norm", normalised(F.col("text"))).select(
+        F.monotonically_increasing_id().alias("node"),
+        row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
         "doc_id",
-        F.char_length("text").alias("n_points"),
+        F.coalesce(F.char_length("text"), F.lit(0)).alias("n_points"),
         F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
-        F.transform(chunks_of(norm), lambda c: _id(c, id_bits).cast("string")).alias("recipe"),
+        F.concat_ws(",", F.transform(chunks_of(norm), lambda c: _id(c, id_bits).cast("string"))).alias("recipe"),
     )
-    twofold = ambiguous_ids(base, id_bits)
-    if is_empty(twofold):
+    plain = scratch.keep(plain)
+    differing = variants(base, id_bits)
+    if is_empty(differing.select("chunk_id")):
         return plain
-    store = chunk_store(base, id_bits).join(twofold, "chunk_id", "left_semi")
     parts = (
         base.withColumn("norm", normalised(F.col("text")))
-        .select("doc_id", "text", F.posexplode_outer(chunks_of(norm)).alias("pos", "chunk"))
+        .select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(chunks_of(norm)).alias("pos", "chunk"))
         .withColumn("chunk_id", _id(F.col("chunk"), id_bits))
-        .join(store, ["chunk_id", "chunk"], "left")
+        .join(differing, ["chunk_id", "chunk"], "left")
     )
     whole = F.struct("pos", F.concat_ws("/", F.col("chunk_id").cast("string"), F.col("variant").cast("string")).alias("id"))
-    listed = parts.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list(F.when(F.col("chunk").isNotNull(), whole))).alias("r"), F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("times"))
-    again = listed.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    # A row that repeats lists each position as often as it repeats: equal positions fold to one.
-    return again.withColumn("norm", normalised(F.col("text"))).select(
-        "doc_id",
-        F.char_length("text").alias("n_points"),
-        F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
-        F.array_distinct(F.col("r")).getField("id").alias("recipe"),
-    )
+    listed = parts.groupBy("row_key").agg(F.concat_ws(",", F.sort_array(F.collect_set(whole)).getField("id")).alias("recipe"))
+    return scratch.keep(plain.drop("recipe").join(listed, "row_key", "left").withColumn("recipe", F.coalesce("recipe", F.lit(""))))
 
 
-def exact_groups(docs: DataFrame, id_bits: int = 64) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256): the row with most code points, then the smallest doc_id, stays."""
-    # The list's length and digest stand for it as a shuffle key; the list itself decides.
-    rows = recipes(docs, id_bits).select("doc_id", "n_points", "text_sha256", F.concat_ws(",", "recipe").alias("recipe"))
-    order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
-    groups = rows.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("recipe", F.col("best.id").alias("keep_id"), "group_size")
+def verdicts(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """(node, row_key, doc_id, keep_id, group_size, kept, text_sha256): the row with most code points, then the smallest doc_id, stays."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = recipes(docs, scratch, id_bits)
+    order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row_key", "node")
+    # Written, so that the join below deals out both sides and a recipe with many rows is split.
+    groups = scratch.keep(rows.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size")))
     return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "node", "row_key", "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("node") == F.col("best.node")).alias("kept"), "text_sha256"
     )
 
 
+def exact_groups(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row."""
+    return verdicts(docs, id_bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; documents without doc_id can't be told apart and stay."""
-    gone = exact_groups(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that stay, one of each group of equal texts, with all their columns."""
+    return staying_rows(docs, verdicts(docs.select("doc_id", "text")))
 
 
 OP8_SQL = f"""
