@@ -331,7 +331,7 @@ def verdicts(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     found = rep.withColumn("node", F.col("best.node")).join(of_node, "node", "left").select("words_key", F.coalesce("top", "best").alias("top"))
     found = scratch.keep(found)
     # Wordless rows have keys of their own, so that they don't meet in one task.
-    own = F.when(F.col("n_shingles") > 0, F.col("words_key")).otherwise(F.col("node").cast("binary"))
+    own = F.when(F.col("n_shingles") > 0, F.col("words_key")).otherwise(F.col("node").cast("string").cast("binary"))
     out = signed.select("node", "row_key", "doc_id", "n_shingles", own.alias("words_key")).join(found, "words_key", "left")
     component = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.id"))
     return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), (F.col("top").isNull() | (F.col("top.node") == F.col("node"))).alias("kept"))
