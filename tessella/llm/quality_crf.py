@@ -6,12 +6,14 @@ before and for the line behind; a 2 x 2 table scores the step from label to labe
 weighted by line length, aggregate into the document's quality, which one logistic step calibrates.
 
 Labels exist per document only, so training starts with them on every line and then lets the field relabel the lines of
-bad documents. Training reads a bounded sample: at most `sample` labelled documents of the training fold, chosen by
-a hash of doc_id; everything else covers all rows.
+bad documents. Training reads a bounded sample: at most `sample` labelled documents of the training fold in the order of
+a hash of doc_id, and of these as many as hold `sample_lines` lines; everything else covers all rows.
 
 Defined results: null and blank texts have no line and score the training sample's share of good documents (0.5 without
 labels); several labels of one document count as their maximum; null labels and null doc_ids teach nothing; a field without
-two classes to learn from scores every document with that share; lines end at "\\n".
+two classes to learn from scores every document with that share; lines end at "\\n"; very long texts are read whole, line by line;
+rows that repeat a doc_id score each by its own text; extra columns, whatever their names, are ignored by `score` and kept by
+`keep_good`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, lean
+
 MEASURES = 9
 COMMON_MARKS = ".,;:!?'\"()-–—«»¿¡„“”‘’…"
 
@@ -221,12 +225,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Field:
-    """Learns from at most `sample` labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_lines: int = 400_000) -> Field:
+    """Learns from at most `sample` labelled documents, of `sample_lines` lines together, outside the held-out fold."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    order = (F.xxhash64("doc_id"), "doc_id")
     taught = (
         labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        .orderBy(*order).limit(sample)
     )
 
     def run(batches: Iterable) -> Iterator:
@@ -246,12 +252,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Field:
     # At most `sample` rows of two numbers: their size is bounded.
     rows = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInPandas(run, f"doc_id {kind}, quality double, sizes array<double>, measures array<float>").toPandas()
-    got = got.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    n_lines = np.array([len(x) for x in got["sizes"]], np.int64)
-    sizes = np.concatenate([np.asarray(x, float) for x in got["sizes"]]) if len(got) else np.zeros(0)
-    values = np.concatenate([np.asarray(x, np.float32) for x in got["measures"]]).reshape(-1, MEASURES) if len(got) else np.zeros((0, MEASURES), np.float32)
-    return train(n_lines, sizes, values, (got["quality"].to_numpy() > 0).astype(float))
+    measured = scratch.keep(rows.mapInPandas(lambda batches: lean(run(batches)), f"doc_id {kind}, quality double, sizes array<double>, measures array<float>"))
+    sizes, values, n_lines, good, had = [np.zeros(0)], [np.zeros(0, np.float32)], [], [], 0
+    # Repeated doc_ids don't widen the sample either.
+    for r in measured.orderBy(*order, F.xxhash64("measures")).limit(sample).toLocalIterator():
+        had += len(r["sizes"])
+        if had > sample_lines:
+            break
+        sizes.append(np.array(r["sizes"], float))
+        values.append(np.array(r["measures"], np.float32))
+        n_lines.append(len(r["sizes"]))
+        good.append(r["quality"] > 0)
+    scratch.drop(measured)
+    return train(np.array(n_lines, np.int64), np.concatenate(sizes), np.concatenate(values).reshape(-1, MEASURES), np.array(good, float))
 
 
 def score(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
@@ -266,7 +279,7 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"], "score": field.quality(part["text"].tolist())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    found = docs.select("doc_id", "text").mapInPandas(lambda batches: lean(run(batches)), f"doc_id {kind}, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
