@@ -8,11 +8,12 @@ Only the other pairs are recomputed exactly, in double precision.
 Bands of code bits name the buckets in which pairs are looked for (within one label), so that no label is compared
 as a whole: with 48 bands of 20 bits a pair at cosine 0.98 shares none with probability 4e-7. Buckets are compared
 in blocks of `block` vectors; a pair counts in the first band that it shares. Blocks tell counts and spanning links per vector,
-never their pairs. Vectors that are equal are compared once, through their smallest vec_id.
+never their pairs. Vectors that are equal are compared once, through one of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows without a label and rows
-without vec_id link with nothing and are their own component; vectors of different length never link; rows that repeat a
-vec_id are one vector (equal or not: the first of its label and components); extra columns are ignored.
+without vec_id link with nothing and are their own component; vectors of different length never link; every row is a vector of its
+own, also if its vec_id repeats; component_id is the smallest vec_id; extra columns, whatever their names, are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, lean
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class Codes:
     bands: int = 48
     bits: int = 20
     sigmas: float = 6.0
-    block: int = 512
+    block: int = 1024
     seed: int = 7
 
 
@@ -69,25 +70,25 @@ def estimate(packed: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tupl
     return found, error[:, None]
 
 
-def _clean(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, v array<double>) of the rows that can link."""
+def _numbered(vectors: DataFrame) -> DataFrame:
+    """(node, vec_id, label, v array<double>) of every row; v is null where the row can't link. To be written, as nodes are numbered."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
-    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where("vec_id is not null and label is not null and v is not null and size(v) > 0").where(sound)
-    rows = rows.where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("r")).select("vec_id", "r.label", "r.v")
+    rows = vectors.select(F.monotonically_increasing_id().alias("node"), F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & sound
+    return rows.withColumn("v", F.when(able, F.col("v")))
 
 
 def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per distinct vec_id (and per row without one)."""
+    """(vec_id, n_links, component_id, kept), one row per input row."""
     import pandas as pd
 
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    clean = scratch.keep(_clean(vectors))
+    rows = scratch.keep(_numbered(vectors))
+    clean = rows.where("v is not null")
     kind = clean.schema["label"].dataType.simpleString()
-    groups = clean.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    groups = clean.groupBy("label", "v").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
 
     def code(batches: Iterable) -> Iterator:
         for pdf in batches:
@@ -96,13 +97,13 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
                 v = v / np.abs(v).max(1, keepdims=True)
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                 numbers, packed, factor = encode(unit, codes)
-                yield pd.DataFrame({"label": part["label"], "vec_id": part["rep"], "copies": part["copies"], "d": size, "v": list(unit), "bands": list(numbers), "code": [x.tobytes() for x in packed], "factor": factor})
+                yield pd.DataFrame({"label": part["label"], "raw": part["v"], "vec_id": part["rep"], "least": part["least"], "copies": part["copies"], "d": size, "v": list(unit), "bands": list(numbers), "code": [x.tobytes() for x in packed], "factor": factor})
 
-    coded = scratch.keep(groups.mapInPandas(code, f"label {kind}, vec_id long, copies long, d int, v array<double>, bands array<long>, code binary, factor double"))
+    coded = scratch.keep(groups.mapInPandas(lambda batches: lean(code(batches)), f"label {kind}, raw array<double>, vec_id long, least long, copies long, d int, v array<double>, bands array<long>, code binary, factor double"))
     places = coded.select("label", "d", "vec_id", F.posexplode("bands").alias("band", "number"))
     bucket = ["label", "d", "band", "number"]
-    shared = places.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    members = places.join(shared, bucket).join(coded.drop("label", "d"), "vec_id")
+    shared = scratch.keep(places.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1"))
+    members = places.join(shared, bucket).join(coded.drop("label", "d", "raw", "least"), "vec_id")
     parts = F.ceil(F.col("size") / codes.block).cast("int")
     members = members.withColumns({"parts": parts, "own": F.pmod(F.xxhash64("vec_id"), parts).cast("int")})
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -110,7 +111,7 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
 
     def compare(band: int, i: int, j: int, ids: np.ndarray, own: np.ndarray, copies: np.ndarray, v: np.ndarray, of_bands: np.ndarray, code: np.ndarray, factor: np.ndarray):
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        n, ends = np.zeros(len(ids), np.int64), [np.zeros((2, 0), np.int64)]
         if len(left) and len(right):
             unit, bands = np.stack(v), np.stack(of_bands)
             packed = np.frombuffer(b"".join(code), np.uint8).reshape(len(ids), -1)
@@ -126,10 +127,8 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
                 y = y[np.einsum("ij,j->i", unit[y], unit[x]) >= codes.threshold]
                 n[x] += copies[y].sum()
                 n[y] += copies[x]
-                for k in y:
-                    a, b = _top(root, x), _top(root, k)
-                    root[max(a, b)] = min(a, b)
-        tops = np.array([_top(root, k) for k in range(len(ids))])
+                ends.append(np.stack([np.full(len(y), x), y]))
+        tops = _tops(len(ids), *np.concatenate(ends, 1))
         some = n > 0
         return ids[some], n[some], ids[tops[some]]
 
@@ -153,25 +152,31 @@ def near_vectors(vectors: DataFrame, codes: Codes = Codes()) -> DataFrame:
     order = [*bucket, "i", "j"]
     told = members.select(*order, "own", "vec_id", "copies", "v", "bands", "code", "factor")
     told = told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "vec_id")
-    told = scratch.keep(told.mapInPandas(run, "vec_id long, n long, top long"))
+    told = scratch.keep(told.mapInPandas(lambda batches: lean(run(batches)), "vec_id long, n long, top long"))
     label = components(told.select(F.col("vec_id").alias("a"), F.col("top").alias("b")), scratch)
     links = told.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    of_rep = coded.select("vec_id").join(links, "vec_id", "left").join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    of_rep = of_rep.select(F.col("vec_id").alias("rep"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "vec_id").alias("component"))
+    label = label.withColumnRenamed("node", "vec_id")
+    low = scratch.keep(coded.join(label, "vec_id").groupBy("component").agg(F.min("least").alias("low")))
+    of_rep = coded.select("vec_id", "label", F.col("raw").alias("v"), "copies", "least").join(links, "vec_id", "left").join(label.join(low, "component"), "vec_id", "left")
+    of_rep = scratch.keep(of_rep.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id")))
     # Copies of a vector link with each other and with all that their representative links with.
-    named = clean.join(groups, ["label", "v"]).select("vec_id", "rep", "copies").join(of_rep, "rep")
-    named = named.select("vec_id", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    every = every.where("vec_id is not null").distinct().unionAll(every.where("vec_id is null"))
-    out = every.join(named, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-
-
-def _top(root: np.ndarray, k: int) -> int:
-    while root[k] != k:
-        root[k] = root[root[k]]
-        k = root[k]
-    return int(k)
+    named = clean.join(of_rep, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return named.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _tops(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n nodes reaches over the links (x, y)."""
+    top = np.arange(n)
+    while True:
+        low = np.minimum(top[x], top[y])
+        then = top.copy()
+        for end in (x, y, top[x], top[y]):
+            np.minimum.at(then, end, low)
+        then = then[then]
+        if (then == top).all():
+            return top
+        top = then
 
 
 OP1_SQL = """

@@ -1,18 +1,20 @@
 """Token ids in binary shards with a minimal perfect hash index for constant-time access by document key.
 
-File format of a shard, little-endian: magic "TSH1", then nine unsigned 64-bit numbers: documents, ids, bytes per id (2 or 4),
-first document's global start, number of hash levels, and the offsets of the sections levels, slots, keys and payload.
-  levels   per level: number of bits, then the level's bit field, then its running popcount per 64 bits (u32)
+File format of a shard, little-endian: magic "TSH1" ("TSH0" without keys), then nine unsigned 64-bit numbers: documents, ids, bytes per id
+(2 or 4), first document's global start, number of hash levels, and the offsets of the sections levels, slots, keys and payload.
+  levels   per level: number of 64-bit words, then the level's bit field
   slots    per hash value: fingerprint u32 of the key, ordinal u32 of the document
   keys     the document keys in ascending order, i64
   starts   ids before each document in the shard, u64, one more than documents
   payload  raw ids
 A key is hashed level by level; the first level whose bit is set gives its rank, which is its place in the slots. The stored
-fingerprint tells foreign keys apart (one in 2**32 passes). Shards hold ranges of keys in ascending order.
+fingerprint tells foreign keys apart (one in 2**32 passes). Shards hold ranges of keys in ascending order, `docs_per_shard` documents at
+most, so the index that a lookup reads is small; of the payload it reads only the ids asked for.
 
-Defined results: null texts count as empty, and every document gets the end id; null doc_ids have no key and are left out; rows
-that repeat a doc_id follow one another, and the index leads to the first; extra columns are ignored; an empty table writes
-no shard. Files are written under a name of their own per attempt and then renamed, so a repeated task can't tear one.
+Defined results: null texts count as empty, and every document gets the end id. Documents without doc_id stand behind all others, in
+shards without keys: they have their ids and starts, but no lookup finds them. Rows that repeat a doc_id follow one another in the order
+of a hash of their text, and the index leads to the first; very long texts are encoded whole; extra columns, whatever their names, are ignored; an
+empty table writes no shard. Files are written under a name of their own per attempt and then renamed, so a repeated task can't tear one.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, lean, worker_table
 
-MAGIC = b"TSH1"
+MAGIC, KEYLESS = b"TSH1", b"TSH0"
 _HEAD = struct.Struct("<4s9Q")
+_SLOT = np.dtype([("f", "<u4"), ("o", "<u4")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,38 +89,47 @@ def _fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 1_000_003) >> np.uint64(32)).astype("<u4")
 
 
-def shard_bytes(keys: np.ndarray, counts: np.ndarray, payload: bytes, width: int, start: int = 0) -> bytes:
-    """A shard file for documents in ascending order of key."""
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+def shard_bytes(keys: np.ndarray, counts: np.ndarray, payload: bytes, width: int, start: int = 0, keyed: bool = True) -> bytes:
+    """A shard file for documents in ascending order of key, or for some without keys."""
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if keyed and len(keys) else np.zeros(len(keys), bool)
     distinct, ordinal = keys[first], np.flatnonzero(first)
     mph = PerfectHash.build(distinct)
     places = mph.places(distinct)
-    slots = np.zeros(len(distinct), np.dtype([("f", "<u4"), ("o", "<u4")]))
+    slots = np.zeros(len(distinct), _SLOT)
     slots["f"][places], slots["o"][places] = _fingerprint(distinct), ordinal
     levels = b"".join(struct.pack("<Q", len(w)) + w.tobytes() for w in mph.levels)
     starts = np.concatenate(([0], np.cumsum(counts))).astype("<u8")
     parts = [levels, slots.tobytes(), keys.astype("<i8").tobytes(), starts.tobytes() + payload]
     at = np.cumsum([_HEAD.size, *map(len, parts)]).tolist()
-    return _HEAD.pack(MAGIC, len(keys), int(starts[-1]), width, start, len(mph.levels), *at[:4]) + b"".join(parts)
+    return _HEAD.pack(MAGIC if keyed else KEYLESS, len(keys), int(starts[-1]), width, start, len(mph.levels), *at[:4]) + b"".join(parts)
 
 
 class Shard:
-    """A shard file that is open for keyed access."""
+    """A shard file that is open for keyed access: read(offset, size) gives bytes of it. Only the index is read at once."""
 
-    def __init__(self, data: bytes):
-        magic, self.n, self.ids, self.width, self.start, n_levels, *at = _HEAD.unpack_from(data)
-        if magic != MAGIC:
+    def __init__(self, read):
+        self.read = read
+        magic, self.n, self.ids, self.width, self.start, n_levels, *self.at = _HEAD.unpack(read(0, _HEAD.size))
+        if magic not in (MAGIC, KEYLESS):
             raise ValueError("not a shard file")
-        levels, pos = [], at[0]
+        self.keyed = magic == MAGIC
+        index, levels, pos = read(self.at[0], self.at[2] - self.at[0]), [], 0
         for _ in range(n_levels):
-            (n,) = struct.unpack_from("<Q", data, pos)
-            levels.append(np.frombuffer(data, "<u8", n, pos + 8))
+            (n,) = struct.unpack_from("<Q", index, pos)
+            levels.append(np.frombuffer(index, "<u8", n, pos + 8))
             pos += 8 + 8 * n
         self.mph = PerfectHash(levels)
-        self.slots = np.frombuffer(data, np.dtype([("f", "<u4"), ("o", "<u4")]), (at[2] - at[1]) // 8, at[1])
-        self.keys = np.frombuffer(data, "<i8", self.n, at[2])
-        self.starts = np.frombuffer(data, "<u8", self.n + 1, at[3])
-        self.payload = np.frombuffer(data, f"<u{self.width}", self.ids, at[3] + 8 * (self.n + 1))
+        self.slots = np.frombuffer(index, _SLOT, offset=pos)
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Shard:
+        return cls(lambda at, size: data[at : at + size])
+
+    def keys(self) -> np.ndarray:
+        return np.frombuffer(self.read(self.at[2], 8 * self.n), "<i8")
+
+    def starts(self, first: int = 0, count: int | None = None) -> np.ndarray:
+        return np.frombuffer(self.read(self.at[3] + 8 * first, 8 * (self.n + 1 if count is None else count)), "<u8").astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ordinals of keys in the shard, -1 for keys that it doesn't hold."""
@@ -129,7 +141,9 @@ class Shard:
         return out
 
     def ids_at(self, ordinal: int) -> np.ndarray:
-        return self.payload[self.starts[ordinal] : self.starts[ordinal + 1]]
+        """The ids of a document: two short reads."""
+        begin, end = self.starts(ordinal, 2).tolist()
+        return np.frombuffer(self.read(self.at[3] + 8 * (self.n + 1) + begin * self.width, (end - begin) * self.width), f"<u{self.width}")
 
     def get(self, key: int) -> np.ndarray | None:
         at = int(self.find(np.array([key]))[0])
@@ -149,7 +163,7 @@ _BYTE_LETTERS = _byte_letters()
 class _Encoded(dict):
     """Ids, as bytes, of runs without white space; bounded. Runs are encoded by the tokenizers library."""
 
-    def __init__(self, path: str, width: int, most: int = 500_000):
+    def __init__(self, path: str, width: int, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -181,125 +195,148 @@ class _Encoded(dict):
 
 #: str.split() takes these for white space, the tokenizer does not; special tokens may hold anything.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-_ENCODERS: dict[tuple[str, int], _Encoded] = {}
 
 
 def encode_text(text: str | None, path: str, width: int = 4) -> bytes:
     """The tokenizer's ids of a whole text. Its pieces never cross white space, so runs between white space are encoded one by one
     and remembered; texts with odd characters go through whole."""
-    if (path, width) not in _ENCODERS:
-        _ENCODERS[path, width] = _Encoded(path, width)
-    known = _ENCODERS[path, width]
     if not text:
         return b""
+    known = worker_table(("token ids", path, width), lambda: _Encoded(path, width))
     if any(c in text for c in _ODD):
         return known.whole(text)
     return b"".join(map(known.__getitem__, text.split()))
 
 
-def _store(folder: str):
-    """The folder's file system and path; pyarrow serves local paths and the usual remote stores."""
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as an address that means the same on all machines: a plain path belongs to the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _store(address: str):
+    """The address's file system and path; pyarrow serves local paths and the usual remote stores."""
     from pyarrow import fs
 
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
-    return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
+    return fs.FileSystem.from_uri(address if "://" in address else address.replace("file:", "file://", 1))
+
 
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that the vocabulary's ids need."""
+    from tokenizers import Tokenizer
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 49_408, docs_per_shard: int = 8192) -> DataFrame:
-    """Writes the shards and returns the manifest (shard, path, first_id, documents, ids, start), in ascending doc_id order.
+    return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, docs_per_shard: int = 8192, shard_bytes_most: int = 64 << 20) -> DataFrame:
+    """Writes the shards and returns the manifest (shard, path, first_id, last_id, documents, ids, start), in ascending doc_id order.
 
     Documents are dealt by ranges of doc_id; a range is written in shards of at most `docs_per_shard` documents, one after another.
     """
-    width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
+    width, address = id_width(tokenizer, end_id), _qualified(docs.sparkSession, folder)
     end = np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
         from pyspark import TaskContext
 
-        files, base = _store(folder)
+        files, base = _store(address)
         files.create_dir(base, recursive=True)
-        part, keys, counts, ids, n = TaskContext.get().partitionId(), [], [], [], 0
+        part, keys, counts, ids, n, size = TaskContext.get().partitionId(), [], [], [], 0, 0
 
-        def flush() -> pd.DataFrame:
-            nonlocal n
-            k, c = np.array(keys, np.int64), np.array(counts, np.int64)
-            data = shard_bytes(k, c, b"".join(ids), width)
+        def flush(keyed: bool) -> pd.DataFrame:
+            nonlocal n, size
+            k, c = np.array(keys if keyed else [0] * len(keys), np.int64), np.array(counts, np.int64)
             name = f"{base}/ids-{part:05d}-{n:05d}-{uuid.uuid4().hex[:8]}.tsh"
             with files.open_output_stream(name + ".part") as f:
-                f.write(data)
+                f.write(shard_bytes(k, c, b"".join(ids), width, keyed=keyed))
             files.move(name + ".part", name)
-            row = pd.DataFrame({"part": [part], "number": [n], "path": [name], "first_id": [int(k[0])], "documents": [len(k)], "ids": [int(c.sum())]})
-            n += 1
+            row = pd.DataFrame({"part": [part], "number": [n], "path": [name], "first_id": [k[0]], "last_id": [k[-1]], "keyed": [keyed], "documents": [len(k)], "ids": [int(c.sum())]})
+            n, size = n + 1, 0
             keys.clear(), counts.clear(), ids.clear()
             return row
 
-        size = 0
-        for pdf in batches:
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                x = encode_text(text, tokenizer, width) + end
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                if keys and (len(keys) >= docs_per_shard or size >= shard_bytes_most or (key is None) != (keys[-1] is None)):
+                    yield flush(keys[-1] is not None)
+                x = encode_text(text.as_py(), tokenizer, width) + end
                 keys.append(key), counts.append(len(x) // width), ids.append(x)
                 size += len(x)
-                if len(keys) >= docs_per_shard or size >= 64 << 20:
-                    yield flush()
-                    size = 0
         if keys:
-            yield flush()
+            yield flush(keys[-1] is not None)
+
+    def write(batches: Iterable) -> Iterator:
+        import pyarrow as pa
 
-    ordered = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInPandas(run, "part int, number int, path string, first_id long, documents long, ids long")
+        for row in lean(run(batches)):
+            yield pa.RecordBatch.from_pandas(row, preserve_index=False)
+
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    ordered = ordered.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    written = ordered.mapInArrow(write, "part long, number long, path string, first_id long, last_id long, keyed boolean, documents long, ids long")
     path = f"{folder}/manifest"
     written.write.parquet(path)
     # One row per shard: a shard holds thousands of documents, and range partitions are in order.
     manifest = docs.sparkSession.read.schema(written.schema).parquet(path)
     order = Window.orderBy("part", "number")
+    own = lambda c: F.when(F.col("keyed"), F.col(c)).alias(c)
     return manifest.select(
-        (F.row_number().over(order) - 1).alias("shard"), "path", "first_id", "documents", "ids",
+        (F.row_number().over(order) - 1).alias("shard"), "path", own("first_id"), own("last_id"), "documents", "ids",
         (F.sum("ids").over(order) - F.col("ids")).alias("start"),
     )
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back through each shard's index."""
+    address = _qualified(manifest.sparkSession, folder)
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        files, _ = _store(folder)
+        files, _ = _store(address)
         for pdf in batches:
             for path, start in zip(pdf["path"], pdf["start"], strict=True):
                 with files.open_input_stream(path) as f:
-                    shard = Shard(f.read())
-                at = shard.find(shard.keys)
-                # Rows that repeat a key stand behind the one that the index leads to.
-                repeat = np.arange(shard.n) - np.maximum.accumulate(np.where(np.concatenate(([True], shard.keys[1:] != shard.keys[:-1])), np.arange(shard.n), 0))
-                at = at + repeat
+                    shard = Shard.of_bytes(f.read())
+                keys, at = shard.keys(), np.arange(shard.n)
+                if shard.keyed:
+                    # Rows that repeat a key stand behind the one that the index leads to.
+                    repeat = at - np.maximum.accumulate(np.where(np.concatenate(([True], keys[1:] != keys[:-1])), at, 0))
+                    at = shard.find(keys) + repeat
+                starts = shard.starts()
                 sums = [zlib.crc32(shard.ids_at(i).astype("<u4").tobytes()) for i in at]
-                begin = shard.starts[at].astype(np.int64)
-                yield pd.DataFrame({"doc_id": shard.keys, "start": start + begin, "n_tokens": shard.starts[at + 1].astype(np.int64) - begin, "ids_crc32": np.array(sums, np.int64)})
+                ids = pd.array(keys, "Int64") if shard.keyed else pd.array([None] * shard.n, "Int64")
+                yield pd.DataFrame({"doc_id": ids, "start": start + starts[at], "n_tokens": starts[at + 1] - starts[at], "ids_crc32": np.array(sums, np.int64)})
 
     spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.select("path", "start").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.select("path", "start").mapInPandas(lambda batches: lean(run(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, manifest: DataFrame, folder: str, keys: DataFrame) -> DataFrame:
-    """(doc_id, ids array<long>) of the keys that the store holds: keys are dealt to shards by range, then found by hash."""
+    """(doc_id, ids array<long>) of the keys that the store holds: keys are dealt to shards by range, then found by hash.
+
+    Of a shard's file the index and the ids asked for are read. The manifest (a row per shard) is joined by range; Spark broadcasts it while small.
+    """
     import pandas as pd
 
-    bounds = manifest.select("path", "first_id", F.lead("first_id").over(Window.orderBy("shard")).alias("next_id"))
+    address = _qualified(spark, folder)
+    keyed = manifest.where("first_id is not null")
+    bounds = keyed.select("path", "last_id", F.lag("last_id").over(Window.orderBy("shard")).alias("before_id"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        files, _ = _store(folder)
-        with files.open_input_stream(key[0]) as f:
-            shard = Shard(f.read())
-        wanted = pdf["doc_id"].to_numpy()
-        at = shard.find(wanted)
-        ids = [shard.ids_at(i).astype(np.int64).tolist() for i in at[at >= 0]]
+        files, _ = _store(address)
+        with files.open_input_file(key[0]) as f:
+            shard = Shard(lambda at, size: f.read_at(size, at))
+            wanted = pdf["doc_id"].to_numpy()
+            at = shard.find(wanted)
+            ids = [shard.ids_at(i).astype(np.int64).tolist() for i in at[at >= 0]]
         return pd.DataFrame({"doc_id": wanted[at >= 0], "ids": pd.Series(ids, dtype=object)})
 
-    dealt = keys.select("doc_id").where("doc_id is not null").distinct().join(bounds, (F.col("doc_id") >= F.col("first_id")) & (F.col("next_id").isNull() | (F.col("doc_id") < F.col("next_id"))))
+    # A key that two shards share is in the first one's index.
+    within = (F.col("doc_id") <= F.col("last_id")) & (F.col("before_id").isNull() | (F.col("doc_id") > F.col("before_id")))
+    dealt = keys.select("doc_id").where("doc_id is not null").distinct().join(bounds, within)
     return dealt.groupBy("path").applyInPandas(run, "doc_id long, ids array<long>")
 
 
