@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +28,19 @@ def retained(events: DataFrame, by: list[str], most: int) -> DataFrame:
     """The last `most` events of each group."""
     last = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("event_id"))
     return events.withColumn("k", F.row_number().over(last)).where(F.col("k") <= most).drop("k")
+
+
+def since(events: DataFrame, time: str) -> DataFrame:
+    """Events at or after a time."""
+    return events.where(F.col("ts") >= F.lit(time).cast("timestamp"))
+
+
+def merged(logs: list[DataFrame]) -> DataFrame:
+    """Several logs as one, each event once."""
+    return reduce(DataFrame.unionByName, logs).dropDuplicates(["event_id"])
+
+
+def alive(entries: DataFrame, now: str, ttl_seconds: int, most: int, by: list[str]) -> DataFrame:
+    """Entries not older than their time to live, of each group the `most` last ones: what a bounded store would still hold."""
+    fresh = entries.where(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= ttl_seconds * 1_000_000)
+    return retained(fresh, by, most)

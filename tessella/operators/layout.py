@@ -2,21 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import connected
+from .storage import cut
 
-def overlaps(boxes: DataFrame, cell: float) -> DataFrame:
-    """(a, b, area) of boxes that strictly overlap; boxes meet in grid cells, each pair in the cell of its corner only."""
+
+def _met(boxes: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
+    """Pairs of boxes (ida, xa, ... hb) that overlap by more than the tolerance both ways; boxes meet in grid cells, each pair in the cell of its corner only."""
     reach = lambda lo, size: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor((F.col(lo) + F.col(size)) / cell).cast("long"))
     dealt = boxes.withColumn("cx", F.explode(reach("x", "w"))).withColumn("cy", F.explode(reach("y", "h")))
     side = lambda s: dealt.select("cx", "cy", *[F.col(c).alias(c + s) for c in ("id", "x", "y", "w", "h")])
     met = side("a").join(side("b"), ["cx", "cy"]).where("ida < idb")
     ox = F.least(F.expr("xa + wa"), F.expr("xb + wb")) - F.greatest("xa", "xb")
     oy = F.least(F.expr("ya + ha"), F.expr("yb + hb")) - F.greatest("ya", "yb")
-    met = met.withColumns({"ox": ox, "oy": oy}).where("ox > 0 and oy > 0")
+    met = met.withColumns({"ox": ox, "oy": oy}).where((F.col("ox") > tolerance) & (F.col("oy") > tolerance))
     corner = (F.floor(F.greatest("xa", "xb") / cell) == F.col("cx")) & (F.floor(F.greatest("ya", "yb") / cell) == F.col("cy"))
-    return met.where(corner).select(F.col("ida").alias("a"), F.col("idb").alias("b"), (F.col("ox") * F.col("oy")).alias("area"))
+    return met.where(corner)
+
+
+def overlaps(boxes: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
+    """(a, b, area) of boxes that overlap by more than the tolerance in width and height; touching is none."""
+    return _met(boxes, cell, tolerance).select(F.col("ida").alias("a"), F.col("idb").alias("b"), (F.col("ox") * F.col("oy")).alias("area"))
+
+
+def collisions(boxes: DataFrame, cell: float) -> DataFrame:
+    """(a, b, ox, oy, dx, dy): overlaps with the shortest vector that parts them, along the smaller overlap and towards b's centre."""
+    mid = lambda s, at, size: F.col(at + s) + F.col(size + s) / 2
+    push = lambda o, at, size: F.when(mid("a", at, size) < mid("b", at, size), F.col(o)).otherwise(-F.col(o))
+    flat = F.col("ox") <= F.col("oy")
+    return _met(boxes, cell).select(F.col("ida").alias("a"), F.col("idb").alias("b"), "ox", "oy", F.when(flat, push("ox", "x", "w")).otherwise(0.0).alias("dx"), F.when(flat, 0.0).otherwise(push("oy", "y", "h")).alias("dy"))
+
+
+def merged(boxes: DataFrame, cell: float) -> DataFrame:
+    """(id, x, y, w, h, n): overlapping boxes grown into their common frame, again and again until no frames overlap; id is the smallest one."""
+    now = cut(boxes.select("id", "x", "y", "w", "h", F.lit(1).cast("long").alias("n")))
+    while True:
+        links = cut(overlaps(now, cell).select("a", "b"))
+        if not links.take(1):
+            return now
+        of = connected(links).withColumnRenamed("node", "id")
+        at = now.join(of, "id", "left").withColumn("to", F.coalesce("component", "id"))
+        grown = at.groupBy("to").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.sum("n").alias("n"))
+        now = cut(grown.select(F.col("to").alias("id"), "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"), "n"))
+
+
+def covered(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """(coverage): share of the canvas's unit cells that whole-numbered boxes paint, counted once.
+
+    A box goes out as one run per line, and a line's runs are joined by a sorted window, so nothing grows with the boxes' areas.
+    """
+    edge = lambda at, size, most: F.least(F.lit(most), F.floor(F.col(at) + F.col(size))).cast("long")
+    runs = boxes.select(F.greatest(F.lit(0), F.floor("x")).cast("long").alias("x1"), edge("x", "w", width).alias("x2"), F.greatest(F.lit(0), F.floor("y")).cast("long").alias("y1"), edge("y", "h", height).alias("y2"))
+    runs = runs.where("x2 > x1 and y2 > y1").withColumn("line", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1))).select("line", "x1", "x2").distinct()
+    before = Window.partitionBy("line").orderBy("x1", "x2").rowsBetween(Window.unboundedPreceding, -1)
+    new = runs.withColumn("seen", F.coalesce(F.max("x2").over(before), F.lit(0))).select(F.greatest(F.lit(0), F.col("x2") - F.greatest("x1", "seen")).alias("n"))
+    return new.agg((F.coalesce(F.sum("n"), F.lit(0)) / float(width * height)).alias("coverage"))
+
+
+# Weights of a layout's parts.
+LAYOUT_WEIGHTS = {"coverage": 1.0, "uniformity": 0.5, "score": 1.0, "overlap": 1.0}
+
+
+def layout_score(boxes: DataFrame, width: int, height: int, cell: float, weights: dict[str, float] | None = None) -> DataFrame:
+    """(coverage, overlap_ratio, uniformity, mean_score, total) of boxes(id, x, y, w, h, score): the overlap's weight counts against and in the divisor."""
+    w = weights or LAYOUT_WEIGHTS
+    cx, cy = width / 2, height / 2
+    off = F.sqrt((F.col("x") + F.col("w") / 2 - cx) ** 2 + (F.col("y") + F.col("h") / 2 - cy) ** 2) / ((cx * cx + cy * cy) ** 0.5 + 1e-12)
+    sums = boxes.agg(F.coalesce(F.sum(F.col("w") * F.col("h")), F.lit(0.0)).alias("area"), F.coalesce(F.stddev_pop(off), F.lit(0.0)).alias("spread"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"), F.count("*").alias("n"))
+    shared = overlaps(boxes, cell).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("shared"))
+    rows = sums.crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(covered(boxes, width, height)))  # one row each
+    ratio = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("shared"), F.col("area")), F.lit(0.0)))
+    rows = rows.select("coverage", ratio.alias("overlap_ratio"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("spread"))).alias("uniformity"), "mean_score", "n")
+    total = (w["coverage"] * F.col("coverage") + w["uniformity"] * F.col("uniformity") + w["score"] * F.col("mean_score") - w["overlap"] * F.col("overlap_ratio")) / (sum(w.values()) + 1e-12)
+    return rows.withColumn("total", F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))).drop("n")
+
+
+def placement_quality(density: Column, coverage: Column, overlap: Column, scale: float = 1e4) -> Column:
+    """0.4 density + 0.4 coverage + 0.2 (1 - overlap / scale), in [0, 1]."""
+    fine = 1 - F.least(F.lit(1.0), overlap / max(scale, 1.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * density + 0.4 * coverage + 0.2 * fine))
+
+
+def significant_overlaps(pairs: DataFrame, iou: float = 0.05, area: float = 1.0) -> DataFrame:
+    """Pairs (a, b, area, iou) that reach both thresholds, with the IoU as their penalty."""
+    return pairs.where((F.col("iou") >= iou) & (F.col("area") >= area)).withColumn("penalty", F.col("iou"))
+
+
+def overlap_summary(significant: DataFrame) -> DataFrame:
+    """(n_overlaps, total_area, max_iou, mean_penalty, is_valid) over the significant ones."""
+    sums = significant.agg(F.count("*").alias("n_overlaps"), *[F.coalesce(f, F.lit(0.0)).alias(n) for n, f in (("total_area", F.sum("area")), ("max_iou", F.max("iou")), ("mean_penalty", F.avg("penalty")))])
+    return sums.withColumn("is_valid", F.col("n_overlaps") == 0)
 
 
 def with_iou(pairs: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import evaluation, events, kernels, layout, ranking, series, text, thresholds
+from ..operators import curves, evaluation, events, kernels, layout, ranking, series, similar, text, thresholds
+from ..operators.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +41,7 @@ _WEIGHT = "case list_id when 'A' then 2.0 when 'N' then 1.0 else 0.5 end"
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
     sums = _t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("list_id"), F.col("l_suppkey").alias("item")).agg(F.sum("l_quantity").alias("score"))
-    return ranking.with_rank(sums, ["list_id"], "score", ["item"])
+    return ranking.ranked_lists(sums)
 
 
 @query(f"with {_LISTS} select item, round(sum(1.0 / (60 + rank)), 6) as fused from lists group by item")
@@ -106,15 +107,18 @@ def pair_rank_from_one(spark, d, ids=FOLDED):
     return ranking.rank_pairs(_pairs(spark, d, ids), 0.5, 100)
 
 
-@query(f"with {_PAIRS}, e as (select a as id, score from best union all select b, score from best) select id, round(avg(score), 6) as mean_score from e group by id")
+@query(f"with {_PAIRS}, e as (select a as id, score from best union all select b, score from best) select id, round(avg(score) + 1e-9, 6) as mean_score from e group by id")
 def pair_endpoint_means(spark, d, ids=FOLDED):
-    return _r(ranking.endpoint_means(ranking.dedup_keep_best(_pairs(spark, d, ids))), "mean_score")
+    # Means of rounded scores may end in a 5, where the order of the sum would decide.
+    means = ranking.endpoint_means(ranking.dedup_keep_best(_pairs(spark, d, ids)))
+    return _r(means.withColumn("mean_score", F.col("mean_score") + 1e-9), "mean_score")
 
 
 @query(f"""with {_PAIRS}, m as (select channel, min(score) lo, max(score) hi from ch group by 1)
-select least(a, b) as a, greatest(a, b) as b, round(sum(case channel when 'A' then 0.6 when 'R' then 0.4 else 0 end * (score - lo) / (hi - lo)) / 2, 6) as score from ch join m using (channel) group by 1, 2""")
+select least(a, b) as a, greatest(a, b) as b, round(sum(case channel when 'A' then 0.6 when 'R' then 0.4 else 0 end * (score - lo) / (hi - lo)) / 2 / (select sum(case channel when 'A' then 0.6 when 'R' then 0.4 else 0 end) from m), 6) as score from ch join m using (channel) group by 1, 2""")
 def pair_channel_matrix(spark, d, ids=FOLDED):
-    return _r(ranking.aggregate_channels(_channels(spark, d, ids), {"A": 0.6, "R": 0.4}), "score")
+    """A weight for a channel that is not there counts in no divisor; the channel without a weight counts 0."""
+    return _r(ranking.aggregate_channels(_channels(spark, d, ids), {"A": 0.6, "R": 0.4, "absent": 2.0}), "score")
 
 
 @query(f"with {_PAIRS}, v as (select least(a, b) as a, greatest(a, b) as b, count(*) as votes from ch where score >= 0.5 group by 1, 2 having count(*) >= 2) select a, b, votes, round(votes / (select max(votes) from v), 6) as share from v")
@@ -286,26 +290,25 @@ def fractal_box_counting(spark, d):
 _QV = "q as (select vec_id as a, embedding::double[] as x from embeddings where vec_id % 20 = 0), v as (select vec_id as b, embedding::double[] as y from embeddings)"
 
 
-def _query_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Query vectors (vec_id divisible by 20) against all rows: the queries are the stated set of the search."""
-    e = _t(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).join(q, F.col("a") != F.col("b"))
+def _scored_pairs(spark: SparkSession, d: str, keep: int = 0) -> DataFrame:
+    """(a, b, c, d): cosine and distance of query vectors (vec_id divisible by 20, the stated set of the search) and all rows.
 
+    Rounded, so that ties don't hang on the order of a sum.
+    """
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return similar.scored(e.where("id % 20 = 0"), e, keep).withColumns({"c": F.round("c", 9), "d": F.round("d", 9)})
 
-@query(f"with {_QV}, r as (select a, b, list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) as c from q join v on a <> b), k as (select a, b, round(c, 6) as cosine, row_number() over (partition by a order by c desc, b) as rank from r) select * from k where rank <= 5")
+
+@query(f"with {_QV}, r as (select a, b, round(list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 9) as c from q join v on a <> b), k as (select a, b, round(c, 6) as cosine, row_number() over (partition by a order by c desc, b) as rank from r) select * from k where rank <= 5")
 def vector_nearest(spark, d):
-    rows = _query_pairs(spark, d).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("cosine"))
+    rows = _scored_pairs(spark, d, 5).select("a", "b", F.col("c").alias("cosine"))
     return _r(ranking.with_rank(rows, ["a"], "cosine", ["b"]).where("rank <= 5"), "cosine")
 
 
-@query(f"""with {_QV}, r as (select a, b, list_distance(x, y) as d from q join v on a <> b), k as (select *, row_number() over (partition by a order by d, b) as n from r)
+@query(f"""with {_QV}, r as (select a, b, round(list_distance(x, y), 9) as d from q join v on a <> b), k as (select *, row_number() over (partition by a order by d, b) as n from r)
 select a, arg_min(b, n) as b, round(min(d), 6) as d1, round(max(d), 6) as d2 from k where n <= 2 group by a having max(d) > 1e-12 and min(d) / max(d) < 0.9""")
 def vector_ratio_test(spark, d):
-    rows = _query_pairs(spark, d).select("a", "b", V.euclidean(F.col("x"), F.col("y")).alias("d"))
-    two = rows.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where("n <= 2")
-    best = two.groupBy("a").agg(F.min_by("b", "n").alias("b"), F.min("d").alias("d1"), F.max("d").alias("d2"))
-    return _r(best.where("d2 > 1e-12 and d1 / d2 < 0.9"), "d1", "d2")
+    return _r(similar.ratio_test(_scored_pairs(spark, d, 2), 0.9), "d1", "d2")
 
 
 # --- layout: parts as placed rectangles ------------------------------------------------------------------------------
@@ -337,13 +340,15 @@ def layout_out_of_bounds(spark, d):
     return layout.out_of_bounds(_boxes(spark, d), 1200.0, 1200.0)
 
 
-@query(f"""with {_BOX}, p as (select a.id as a, b.id as b, greatest(b.x - (a.x + a.w), a.x - (b.x + b.w)) as gap_x, greatest(b.y - (a.y + a.h), a.y - (b.y + b.h)) as gap_y from box a join box b on b.id = a.id + 1)
+@query(f"""with {_BOX}, p as (select a.id as a, b.id as b, greatest(b.x - (a.x + a.w), a.x - (b.x + b.w)) as gap_x, greatest(b.y - (a.y + a.h), a.y - (b.y + b.h)) as gap_y from box a join box b on a.id < b.id and sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) <= 60)
 select *, case when greatest(gap_x, gap_y) < 0 then 'overlap' when greatest(gap_x, gap_y) = 0 then 'touching' when greatest(gap_x, gap_y) <= 5 then 'near' else 'far' end as kind from p""")
 def layout_gaps(spark, d):
+    """Every two boxes whose corners lie within 60 of each other."""
     boxes = _boxes(spark, d)
+    near = ranking.distance_join(boxes, boxes, 60.0).where("a < b").select("a", "b")
     side = lambda s: boxes.select(*[F.col(c).alias(c + s) for c in boxes.columns])
-    pairs = side("a").join(side("b"), F.col("idb") == F.col("ida") + 1)
-    return layout.gaps(pairs).select(F.col("ida").alias("a"), F.col("idb").alias("b"), "gap_x", "gap_y", "kind")
+    pairs = near.join(side("a"), F.col("a") == F.col("ida")).join(side("b"), F.col("b") == F.col("idb"))
+    return layout.gaps(pairs).select("a", "b", "gap_x", "gap_y", "kind")
 
 
 @query("with b as (select l_suppkey % 97 as x, l_partkey % 89 as y, min(l_orderkey * 10 + l_linenumber) as f from lineitem group by 1, 2) select f as first_id, l_orderkey * 10 + l_linenumber as id from lineitem join b on x = l_suppkey % 97 and y = l_partkey % 89 where l_orderkey * 10 + l_linenumber > f")
@@ -382,20 +387,14 @@ def eval_completeness(spark, d):
 # --- text and events -------------------------------------------------------------------------------------------------
 @query("""with w as (select doc_id, regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё]{2,}') as w from documents), p as (select doc_id, unnest(list_zip(w[:-2], w[2:])) as p from w where len(w) > 1),
 b as (select doc_id, p[1] as w1, p[2] as w2 from p), c2 as (select w1, w2, count(*) c2 from b group by 1, 2), c1 as (select w1, sum(c2) c1 from c2 group by 1), v as (select count(*) v from (select w1 from c2 union select w2 from c2)),
-h as (select doc_id, -avg(ln((c2 + 1) / (c1 + v))) h, max(v) v from b join c2 using (w1, w2) join c1 using (w1), v group by 1) select doc_id, round(greatest(0, least(1, 1 - h / ln(v + 1))), 6) as coherence from h""")
+h as (select doc_id, -avg(ln((c2 + 1) / (c1 + v))) h, max(v) v from b join c2 using (w1, w2) join c1 using (w1), v group by 1) select doc_id, round(coalesce(greatest(0, least(1, 1 - h / ln(v + 1))), 0), 6) as coherence from documents left join h using (doc_id)""")
 def text_coherence(spark, d):
     return _r(text.coherence(_t(spark, d, "documents").select("doc_id", "text")), "coherence")
 
 
-@query("select conv_id, turn, round(case when greatest(length(text), length(prev)) = 0 then 1.0 else 1 - levenshtein(text, prev) / greatest(length(text), length(prev)) end, 6) as similarity from (select *, lag(text) over (partition by conv_id order by turn, role, text) as prev from (select conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') as text from conversations)) where prev is not null")
-def text_turn_similarity(spark, d):
-    """By printable ASCII characters alone, as the SQL engine's distance counts bytes."""
-    return _turn_similarity(_t(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", "")))
-
-
 @query()
-def text_turn_similarity_whole(spark, d):
-    """By all characters of both turns."""
+def text_turn_similarity(spark, d):
+    """By all characters of both turns; the SQL engine's distance counts bytes, so a test holds it against a plain version."""
     return _turn_similarity(_t(spark, d, "conversations"))
 
 
@@ -430,10 +429,10 @@ def event_retention(spark, d):
 # --- kernels ---------------------------------------------------------------------------------------------------------
 @query()
 def kernel_dtw(spark, d):
-    """Each user's series against the next user's."""
+    """Each query user's series (ids divisible by 20) against every other user's."""
     s = _series(spark, d).groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "value"))), lambda p: p["value"]).alias("x"))
-    pairs = s.select(F.col("series").alias("a"), "x").join(s.select(F.col("series").alias("b"), F.col("x").alias("y")), F.col("b") == F.col("a") + 1)
-    return kernels.dtw(pairs).select("a", "b", F.round("dtw", 6).alias("dtw"))
+    pairs = s.where("series % 20 = 0").select(F.col("series").alias("a"), "x").join(s.select(F.col("series").alias("b"), F.col("x").alias("y")), F.col("b") != F.col("a"))
+    return pairs.select("a", "b", F.round(curves.dtw("x", "y"), 6).alias("dtw"))
 
 
 @query()
@@ -442,14 +441,13 @@ def kernel_greedy_sequence(spark, d, ids=FOLDED):
 
 
 # --- flagship: vectors to fused ranking ------------------------------------------------------------------------------
-@query(f"""with {_QV}, r as (select a, b, list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)) as c, list_distance(x, y) as d from q join v on a <> b),
+@query(f"""with {_QV}, r as (select a, b, round(list_inner_product(x, y) / sqrt(list_inner_product(x, x) * list_inner_product(y, y)), 9) as c, round(list_distance(x, y), 9) as d from q join v on a <> b),
 t as (select quantile_cont(c, 0.95) as t from r), k as (select a, b, row_number() over (partition by a order by c desc, b) as rc, row_number() over (partition by a order by d, b) as rd from r, t where c >= t)
 select a, b, round(1.0 / (60 + rc) + 1.0 / (60 + rd), 6) as fused from k where rc <= 5""")
-def match_stage(spark, d, ids=FOLDED):
-    """Score, threshold, rank and fuse: the engine's matching stage from load to ranking."""
-    rows = _query_pairs(spark, d).select("a", "b", V.cosine(F.col("x"), F.col("y")).alias("c"), V.euclidean(F.col("x"), F.col("y")).alias("d"))
-    cut = F.broadcast(rows.agg(F.expr("percentile(c, 0.95)").alias("t")))
-    kept = rows.crossJoin(cut).where("c >= t")
+def match_stage(spark, d):
+    """Score, threshold, rank and fuse: the engine's matching stage from load to ranking. Every pair is scored once."""
+    rows = cut(_scored_pairs(spark, d))
+    kept = rows.crossJoin(F.broadcast(thresholds.percentile_threshold(rows, "c", 95))).where("c >= threshold")
     by_c, by_d = Window.partitionBy("a").orderBy(F.desc("c"), "b"), Window.partitionBy("a").orderBy("d", "b")
     ranked = kept.select("a", "b", F.row_number().over(by_c).alias("rc"), F.row_number().over(by_d).alias("rd")).where("rc <= 5")
     return ranked.select("a", "b", F.round(1 / (60 + F.col("rc")) + 1 / (60 + F.col("rd")), 6).alias("fused"))

@@ -21,10 +21,14 @@ def _w(missing: float) -> str:
     return f"case channel when 'A' then 0.6::double when 'R' then 0.3::double else {missing}::double end"
 
 
-@query(f"""with {_CH} select a, b, round(avg(score), 6) as mean, min(score) as low, max(score) as high, round(median(score), 6) as median,
-round(exp(sum(ln(greatest(score, 1e-9)))), 6) as product, round(count(*) / sum(1 / greatest(score, 1e-9)), 6) as harmonic, round(exp(avg(ln(greatest(score, 1e-9)))), 6) as geometric from c group by a, b""")
+_CLIP = lambda x: f"greatest(0, least(1, {x}))"
+
+
+@query(f"""with {_CH} select a, b, round({_CLIP(f'sum({_w(1.0)} * score) / (sum({_w(1.0)}) + 1e-12)')}, 6) as weighted, round({_CLIP('avg(score)')}, 6) as mean, {_CLIP('min(score)')} as low, {_CLIP('max(score)')} as high,
+round({_CLIP('median(score)')}, 6) as median, round({_CLIP('product(score)')}, 6) as product, round((count(*) + 1) / (2 * count(*)), 6) as rank, round({_CLIP('count(*) / sum(1 / greatest(score, 1e-9))')}, 6) as harmonic,
+round({_CLIP('exp(avg(ln(greatest(score, 1e-9))))')}, 6) as geometric from c group by a, b""")
 def score_strategies(spark, d, ids=FOLDED):
-    return _r(scoring.strategies(_ch(spark, d, ids)), "mean", "median", "product", "harmonic", "geometric")
+    return _r(scoring.strategies(_ch(spark, d, ids), _WEIGHTS), "weighted", "mean", "median", "product", "rank", "harmonic", "geometric")
 
 
 @query(f"with {_CH} select a, b, round(greatest(0, least(1, sum({_w(1.0)} * score) / sum({_w(1.0)}))), 6) as score from c group by a, b")
@@ -47,7 +51,7 @@ def score_rank_combine(spark, d, ids=FOLDED):
     return _r(scoring.rank_combine(_ch(spark, d, ids)), "score")
 
 
-@query(f"with {_PAIRS} select a, b, round(case when count(*) over (partition by a) > 1 then (row_number() over (partition by a order by score, b) - 1) / (count(*) over (partition by a) - 1) else 0 end, 6) as normed from pairs")
+@query(f"with {_PAIRS} select a, b, round(case when count(*) over (partition by a) = 1 then 0 when max(score) over (partition by a) - min(score) over (partition by a) < 1e-12 then 0.5 else (row_number() over (partition by a order by score, b) - 1) / (count(*) over (partition by a) - 1) end, 6) as normed from pairs")
 def norm_rank_rows(spark, d, ids=FOLDED):
     return _r(scoring.rank_in_rows(_pairs(spark, d, ids), "score", ["a"], ["b"]).select("a", "b", "normed"), "normed")
 
@@ -70,12 +74,31 @@ def cost_cheapest(spark, d, ids=FOLDED):
     return _r(scoring.cheapest(scoring.costs(_pairs(spark, d, ids)), 3), "cost")
 
 
-@query(f"""with {_CH}, p as (select channel, least(a, b) as a, greatest(a, b) as b, round(greatest(0, least(1, avg(score))), 6) as score from c group by 1, 2, 3),
-e as (select * from p union all select channel, b, a, score from p), r as (select *, row_number() over (partition by channel, a order by score desc, b) as r from e),
-o as (select channel, least(a, b) as a, greatest(a, b) as b, max(score) as score from r where r <= 5 group by 1, 2, 3)
-select a, b, round(avg(score), 6) as score, count(*) as n_channels from o group by a, b""")
+_MATCH = f"""{_CH}, g as (select channel, least(a, b) as a, greatest(a, b) as b, avg(score) as score from c where a <> b group by 1, 2, 3),
+p as (select a, b, round(greatest(0, least(1, sum({_w(1.0)} * score) / sum({_w(1.0)}))), 6) as score from g group by 1, 2),
+e as (select a as id, b as candidate, score from p union all select b, a, score from p), r as (select *, row_number() over (partition by id order by score desc, candidate) as rank from e where score >= 0.3)"""
+
+
+def _matched(spark, d, ids):
+    # Rounded, so that ties don't hang on the order of a sum.
+    return scoring.channel_means(_ch(spark, d, ids), _WEIGHTS).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {_MATCH} select id, candidate, score, rank from r where rank <= 5")
+def match_candidates(spark, d, ids=FOLDED):
+    return scoring.candidates(_matched(spark, d, ids), 5, 0.3)
+
+
+@query(f"""with {_MATCH}, o as (select * from r where rank <= 5), q as (select *, row_number() over (partition by id order by score desc, candidate) as k from (select a as id, b as candidate, 1 - score as score from p union all select b, a, 1 - score from p)),
+u as (select id, candidate, score from o union all select id, candidate, score from q where k <= 5), m as (select id, candidate, round(avg(score), 6) as score from u group by 1, 2),
+z as (select *, row_number() over (partition by id order by score desc, candidate) as rank from m) select * from z where rank <= 5""")
 def match_mutual_top(spark, d, ids=FOLDED):
-    return _r(scoring.mutual_top(_ch(spark, d, ids), 5), "score")
+    """Two results, by likeness and by unlikeness, merged: means of scores, cut to 5 and ranked anew."""
+    pairs = _matched(spark, d, ids)
+    results = [scoring.candidates(pairs, 5, 0.3), scoring.candidates(pairs.withColumn("score", 1 - F.col("score")), 5)]
+    every = [r.withColumn("score", F.round("score", 6)) for r in results]
+    merged = scoring.merged_candidates(every, 5)
+    return merged.withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_PAIRS}, n as (select count(distinct x) as n from (select a as x from pairs union all select b from pairs)) select round(avg((score = 0)::int), 6) as zeros, round(1 - count(*) filter (score > 0.5) / max(n.n * (n.n - 1)), 6) as sparsity from pairs, n")
@@ -118,10 +141,12 @@ def eval_hamming(spark, d):
     return _r(evaluation.hamming(a, b), "share")
 
 
-@query("select l_returnflag, l_linestatus, round(exp(-2.0 * avg(l_discount)), 6) as quality from lineitem group by 1, 2")
+@query("select l_suppkey, round(exp(-2.0 * sum(case when l_discount > 0.08 then l_discount else 0 end) / count(*)), 6) as quality from lineitem group by 1")
 def boundary_quality(spark, d):
-    flaws = _t(spark, d, "lineitem").withColumn("severity", F.col("l_discount"))
-    return _r(scoring.boundary_quality(flaws, ["l_returnflag", "l_linestatus"], 2.0), "quality")
+    """Discounts above 0.08 are violations; all rows were checked."""
+    rows = _t(spark, d, "lineitem")
+    flaws = rows.where("l_discount > 0.08").select("l_suppkey", F.col("l_discount").alias("severity"))
+    return _r(scoring.boundary_quality(flaws, rows.groupBy("l_suppkey").agg(F.count("*").alias("n_pairs")), ["l_suppkey"], 2.0), "quality")
 
 
 @query("""with s as (select abs(corr(l_quantity, l_extendedprice)) as l_quantity, abs(corr(l_discount, l_extendedprice)) as l_discount, abs(corr(l_tax, l_extendedprice)) as l_tax from lineitem),
@@ -147,11 +172,31 @@ def stats_finite_mean(spark, d):
     return _r(_t(spark, d, "events").groupBy("event_type").agg(scoring.finite_mean(ratio).alias("mean")), "mean")
 
 
-@query("select range as step, round(greatest(0.01, 10.0 * pow(0.001, range / 99)), 6) as temperature from range(100)")
+@query("select range as step, round(greatest(0.01, 10.0 * pow(0.95, range)), 6) as temperature from range(100)")
 def schedule_geometric(spark, d):
     return _r(scoring.schedule(spark, "geometric", 10.0, 0.01, 100), "temperature")
 
 
+@query("select range as step, round(greatest(0.01, 10.0 - 9.99 * range / 99), 6) as temperature from range(100)")
+def schedule_linear(spark, d):
+    return _r(scoring.schedule(spark, "linear", 10.0, 0.01, 100), "temperature")
+
+
+@query("select range as step, round(greatest(0.01, 10.0 * exp(-range * ln(1000) / 99)), 6) as temperature from range(100)")
+def schedule_exponential(spark, d):
+    return _r(scoring.schedule(spark, "exponential", 10.0, 0.01, 100), "temperature")
+
+
+@query("select range as step, round(greatest(0.01, 10.0 - 9.99 * least(1.0, (range // 8) / 12)), 6) as temperature from range(100)")
+def schedule_stepped(spark, d):
+    return _r(scoring.schedule(spark, "stepped", 10.0, 0.01, 100, width=8), "temperature")
+
+
+@query("select p_partkey, greatest(1, ceil(ln(0.5 / p_retailprice) / ln(0.9)))::bigint as steps from part")
+def schedule_steps(spark, d):
+    return _t(spark, d, "part").select("p_partkey", scoring.steps_to(F.col("p_retailprice"), F.lit(0.5), F.lit(0.9)).alias("steps"))
+
+
 @query("select range as step, round(greatest(0.01, 0.01 + 9.99 * (1 + cos(range / 99 * pi())) / 2), 6) as temperature from range(100)")
 def schedule_cosine(spark, d):
     return _r(scoring.schedule(spark, "cosine", 10.0, 0.01, 100), "temperature")
@@ -168,20 +213,17 @@ def confidence_grade(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.grade(1 - F.col("l_discount") * 7).alias("grade"))
 
 
-@query("select l_orderkey, l_linenumber, round(case when abs(l_quantity - 5) <= 1 then 1.0 when l_quantity > 20 then 0.0 else greatest(0.0, 1 - (abs(l_quantity - 5) - 1) / 15) end, 6) as score from lineitem")
+@query("""select l_orderkey, l_linenumber, round(case when abs(l_quantity - 5) <= 1 then 1.0 when l_quantity > 20 then 0.0 else greatest(0.0, 1 - (abs(l_quantity - 5) - 1) / 15) end, 6) as score,
+round(case when abs(l_quantity - 5) <= 1 then 0.0 when l_quantity > 20 then 2 * (l_quantity - 20 + abs(l_quantity - 5)) else 2 * (abs(l_quantity - 5) - 1) end, 6) as penalty from lineitem""")
 def score_gap(spark, d):
-    return _r(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.gap_score(F.col("l_quantity")).alias("score")), "score")
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", V.gap_score(F.col("l_quantity"), penalty=2.0).alias("g"))
+    return _r(rows.select("l_orderkey", "l_linenumber", "g.score", "g.penalty"), "score", "penalty")
 
 
-@query(r"""with t as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as next from conversations), n as (select conv_id, turn,
-regexp_matches(text, '(^|[^A-Za-z])[A-Za-z]{1,3}$')::int + regexp_matches(next, '^[A-Za-z]{1,3}($|[^A-Za-z])')::int as n from t where text is not null and next is not null)
-select conv_id, turn, case n when 0 then 1.0 when 1 then 0.5 else 0.2 end::double as score from n""")
+@query(r"""with t as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as next from conversations where text is not null), w as (select conv_id, turn, text, next,
+regexp_extract(text, '(\S+)\s*$', 1) as l, regexp_extract(next, '^\s*(\S+)', 1) as r from t where next is not null), n as (select *, regexp_full_match(l, '[a-zа-яёA-ZА-ЯЁ]{1,3}')::int + regexp_full_match(r, '[a-zа-яёA-ZА-ЯЁ]{1,3}')::int as n from w)
+select conv_id, turn, (case when l = '' or r = '' then 0.5 when n = 0 then 1.0 when n = 1 then 0.5 else 0.2 end)::double as score from n""")
 def text_seams(spark, d):
-    ahead = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = _t(spark, d, "conversations").withColumn("next", ahead).where("text is not null and next is not null")
+    rows = _t(spark, d, "conversations").where("text is not null")
+    rows = rows.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("next is not null")
     return rows.select("conv_id", "turn", text.seam_score(F.col("text"), F.col("next")).alias("score"))
-
-
-@query("with p as (select quantile_cont(l_extendedprice, 0.5) as m from lineitem) select round(m, 6) as threshold from p")
-def threshold_median(spark, d):
-    return _r(thresholds.percentile_threshold(_t(spark, d, "lineitem"), "l_extendedprice", 50), "threshold")
