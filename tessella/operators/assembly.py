@@ -187,9 +187,8 @@ class Puzzle:
         if len(self.fragments) > most:
             return self.beam()
         best_of = {f: max((e[4] for e in self.scored if f in e[2:4]), default=0.0) for f in self.fragments}
-        found: tuple[Placements, float] = self.beam(1)
-        found = ({k: v for k, v in found[0].items()}, found[1])
-        seen: set[tuple[frozenset[int], float]] = set()
+        found = self.beam(1)
+        seen: dict[frozenset[int], float] = {}
 
         def search(placed: Placements, score: float) -> None:
             nonlocal found
@@ -198,9 +197,10 @@ class Puzzle:
             if score + sum(v for f, v in best_of.items() if f not in placed) <= found[1] + 1e-12:
                 return
             for new, at, gain in self.steps(placed):
-                state = (frozenset((*placed, new)), round(score + gain, 9))
-                if state not in seen:
-                    seen.add(state)
+                # What can still be gained depends on the placed fragments alone.
+                state = frozenset((*placed, new))
+                if seen.get(state, -1.0) < score + gain:
+                    seen[state] = score + gain
                     search(placed | {new: at}, score + gain)
 
         search(self.first(), 0.0)

@@ -22,7 +22,8 @@ def _plain(v):
 def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     if name not in queries.ORACLES:
-        assert len(got) >= 0
+        # tests/test_puzzles.py and the cases below hold these against plain versions; here they run on whole tables.
+        assert len(got) > 0 and not got.duplicated([c for c in got.columns if got[c].dtype != object]).all()
         return
     con = duckdb.connect()
     for t in TABLES:
