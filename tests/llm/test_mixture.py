@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -31,8 +32,8 @@ def _selected(rows, mix):
     """(key, repeats) by definition: leaf by leaf, whole epochs, then documents in the order of their keys while they fit."""
     leaves = {}
     for i, text, lang, source in rows:
-        number = "".join(c for c in (source or "")[-1:] if c.isdigit())
-        leaf = (f"domain{int(number) % 4}" if number else "other", lang or "", source or "")
+        number = re.search(r"[0-9]{1,9}$", source or "")
+        leaf = (f"domain{int(number[0]) % 4}" if number else "other", lang or "", source or "")
         leaves.setdefault(leaf, []).append((i, len((text or "").split())))
     tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
     out = []
@@ -54,7 +55,7 @@ def _selected(rows, mix):
 @pytest.mark.parametrize("epochs", [1, 2])
 def test_selection_against_its_definition(spark, epochs):
     rng = random.Random(13)
-    rows = [(i, " ".join(["w"] * rng.choice([1, 5, 60, 400])), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src2", "site", None])) for i in range(400)]
+    rows = [(i, " ".join(["w"] * rng.choice([1, 5, 60, 400])), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src2", "src13", "site", None])) for i in range(400)]
     rows += [(7, "a repeated id", "en", "src0"), (7, "a repeated id", "en", "src0"), (None, "no id", "de", "src1"), (900, None, "en", "src2"), (901, "", "xx", "src9"), (902, "w " * 20_000, "en", "src1")]
     docs = spark.createDataFrame([(*r, 1.0, 2, "x") for r in rows], "doc_id long, text string, lang string, source string, whole double, cut int, domain string")
     mix = mixture.Mix(weights={("domain1",): 2.0, ("*", "en"): 4.0, ("*", "*", "src2"): 0.0}, epochs=epochs, share=0.6)
