@@ -47,22 +47,31 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """The lightest spanning tree of every component, by joining each component over its lightest edge out until none has one (Boruvka).
+    """The lightest spanning tree of every component: each part joins another one over its lightest edge out, until none has one (Boruvka).
 
-    Equal weights go by the ids, so the forest is the one that this order names.
+    Equal weights go by the ids, so the forest is the one that this order names. Parts at least halve in number with every round.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").where("a <> b").distinct())
-    chosen = cut(edges.limit(0))
+    part = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("c")))
+    chosen = edges.limit(0)
     while True:
-        of = connected(chosen.select("a", "b"))
-        named = lambda end: of.select(F.col("node").alias(end), F.col("component").alias("c_" + end))
-        out = edges.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        out = out.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
-        ends = out.select(F.col("c_a").alias("c"), "weight", "a", "b").union(out.select("c_b", "weight", "a", "b"))
-        new = cut(ends.groupBy("c").agg(F.min(F.struct("weight", "a", "b")).alias("e")).select("e.a", "e.b", "e.weight").distinct())
-        if not new.take(1):
+        of = lambda end: part.select(F.col("node").alias(end), F.col("c").alias("c_" + end))
+        out = edges.join(of("a"), "a").join(of("b"), "b").where("c_a <> c_b")
+        ends = out.select(F.col("c_a").alias("c"), F.col("c_b").alias("to"), "weight", "a", "b").union(out.select("c_b", "c_a", "weight", "a", "b"))
+        best = cut(ends.groupBy("c").agg(F.min(F.struct("weight", "a", "b", "to")).alias("e")).select("c", "e.*"))
+        if not best.take(1):
             return chosen
-        chosen = cut(chosen.unionByName(new))
+        chosen = cut(chosen.unionByName(best.select("a", "b", "weight").distinct()))
+        # Two parts that chose the same edge: the smaller one is the root.
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
+        parent = cut(best.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p")))
+        while True:
+            jumped = cut(parent.join(parent.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", "p", "pp"))
+            if not jumped.where("p <> pp").take(1):
+                break
+            parent = jumped.select("c", F.col("pp").alias("p"))
+        part = cut(part.join(parent, "c", "left").select("node", F.coalesce("p", "c").alias("c")))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
