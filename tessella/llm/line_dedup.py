@@ -6,7 +6,8 @@ lies within `margin` of the threshold are counted exactly; the others are decide
 
 Defined results: lines end at "\\n" and are compared without outer spaces; lines of fewer than `least_chars` characters stay; null
 sites count for no line; null texts have no line and come back empty; rows that repeat a doc_id are cleaned each by its own
-text; extra columns are kept by `without_boilerplate`.
+text; very long texts travel as line hashes; extra columns, whatever their names, are kept by `without_boilerplate`; an empty table gives an
+empty result; a line on exactly `sites` sites is boilerplate.
 """
 
 from __future__ import annotations
