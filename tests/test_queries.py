@@ -110,7 +110,7 @@ def test_whole_turns_are_compared(spark, tmp_path):
     talks = [["Привет, мир", "Другая речь"], ["你好", "再見嗎"], ["café\nnoir", "cafe\nnoir", "cafe noir"], ["", ""], ["a😀b", "ab"], ["", "ñ"]]
     rows = [(c, k, "user", t) for c, talk in enumerate(talks) for k, t in enumerate(talk)] + [(99, 0, "user", None), (99, 1, "user", "é")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {(r.conv_id, r.turn): r.similarity for r in queries.QUERIES["text_turn_similarity_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.conv_id, r.turn): r.similarity for r in queries.QUERIES["text_turn_similarity"](spark, str(tmp_path)).collect()}
     want = {(c, k + 1): 1.0 if not (n := max(len(a), len(b))) else 1 - distance(a, b) / n for c, talk in enumerate(talks) for k, (a, b) in enumerate(zip(talk, talk[1:], strict=False))}
     assert got == {k: round(v, 6) for k, v in want.items()}
     assert got[(0, 1)] < 0.5 and got[(1, 1)] == 0 and got[(2, 1)] < 1
