@@ -115,13 +115,20 @@ def best_per_row(scores: DataFrame, k: int) -> DataFrame:
 
 
 def channel_means(scores: DataFrame, weights: dict[str, float] | None = None, symmetric: bool = True) -> DataFrame:
-    """(a, b, score) of unordered pairs: both directions of a channel averaged (else the one from the smaller id), then the channels' weighted mean, clipped."""
+    """(a, b, score) of unordered pairs: both directions of a channel averaged (else the one from the smaller id), then the channels' weighted mean, clipped.
+
+    Channels are summed in the order of the weights, then of their names, so that a half of a later rounding's last digit does not hang on
+    the order of rows.
+    """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     first = F.max(F.when(F.col("a") <= F.col("b"), F.col("score")))
     each = F.avg("score") if symmetric else F.coalesce(first, F.max("score"))
     pair = scores.where("a <> b").groupBy("channel", low.alias("a"), high.alias("b")).agg(each.alias("score"))
     w = _weight("channel", weights or {}, 1.0)
-    return pair.groupBy("a", "b").agg(clip(F.coalesce(F.try_divide(F.sum(w * F.col("score")), F.sum(w)), F.lit(0.0))).alias("score"))
+    place = F.coalesce(F.nullif(F.array_position(F.lit(list(weights)), F.col("channel")), F.lit(0)), F.lit(len(weights) + 1)) if weights else F.lit(0)
+    listed = pair.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "channel", w.alias("w"), "score"))).alias("l"))
+    total = lambda each: F.aggregate("l", F.lit(0.0), lambda s, x: s + each(x))
+    return listed.select("a", "b", clip(F.coalesce(F.try_divide(total(lambda x: x["w"] * x["score"]), total(lambda x: x["w"])), F.lit(0.0))).alias("score"))
 
 
 def candidates(pairs: DataFrame, k: int, least: float = 0.0) -> DataFrame:
@@ -132,9 +139,12 @@ def candidates(pairs: DataFrame, k: int, least: float = 0.0) -> DataFrame:
 
 
 def merged_candidates(results: list[DataFrame], k: int) -> DataFrame:
-    """Several results of `candidates` in one: the mean of a candidate's scores, cut to k and ranked anew."""
+    """Several results of `candidates` in one: the mean of a candidate's scores, cut to k and ranked anew.
+
+    Means are rounded to 12 digits, so that ties don't hang on the order of a sum.
+    """
     every = reduce(DataFrame.unionByName, [r.select("id", "candidate", "score") for r in results])
-    mean = every.groupBy("id", "candidate").agg(F.avg("score").alias("score"))
+    mean = every.groupBy("id", "candidate").agg(F.round(F.avg("score"), 12).alias("score"))
     down = Window.partitionBy("id").orderBy(F.desc("score"), "candidate")
     return mean.withColumn("rank", F.row_number().over(down).cast("long")).where(F.col("rank") <= k)
 

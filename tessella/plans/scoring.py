@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import evaluation, scoring, text, thresholds
-from .queries import FOLDED, _OW, _PAIRS, _SERIES, _channels, _pairs, _r, _series, _t, query
+from .queries import FOLDED, _OW, _PAIRS, _SERIES, _channels, _pairs, _r, _rounded, _series, _t, query
 
 _WEIGHTS = {"A": 0.6, "R": 0.3}
 _CH = f"{_PAIRS}, c as (select a, b, channel, round(score, 6) as score from ch)"
@@ -81,7 +81,7 @@ e as (select a as id, b as candidate, score from p union all select b, a, score
 
 def _matched(spark, d, ids):
     # Rounded, so that ties don't hang on the order of a sum.
-    return scoring.channel_means(_ch(spark, d, ids), _WEIGHTS).withColumn("score", F.round("score", 6))
+    return scoring.channel_means(_ch(spark, d, ids), _WEIGHTS).withColumn("score", _rounded("score", 6))
 
 
 @query(f"with {_MATCH} select id, candidate, score, rank from r where rank <= 5")
