@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +13,29 @@ from .graphs import connected
 from .storage import cut
 
 
+def _fitting(boxes: DataFrame, cell: float) -> float:
+    """The cell, or a smaller one of about the boxes' sizes where these are small: large cells make boxes meet that lie far apart."""
+    size = boxes.agg(F.avg("w").alias("w"), F.avg("h").alias("h")).first()
+    most = max((v for v in size if v is not None), default=0.0)
+    return min(cell, most) if 0 < most < float("inf") else cell
+
+
 def _met(boxes: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
-    """Pairs of boxes (ida, xa, ... hb) that overlap by more than the tolerance both ways; boxes meet in grid cells, each pair in the cell of its corner only."""
+    """Pairs of boxes (ida, xa, ... hb) that overlap by more than the tolerance both ways; boxes meet in grid cells, each pair in the cell of its corner only.
+
+    They meet by a merge join: the size of a table that was dealt out to cells is underrated, and a broadcast would leave the work to few tasks.
+    """
+    cell = _fitting(boxes, cell)
     reach = lambda lo, size: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor((F.col(lo) + F.col(size)) / cell).cast("long"))
     dealt = boxes.withColumn("cx", F.explode(reach("x", "w"))).withColumn("cy", F.explode(reach("y", "h")))
-    side = lambda s: dealt.select("cx", "cy", *[F.col(c).alias(c + s) for c in ("id", "x", "y", "w", "h")])
-    met = side("a").join(side("b"), ["cx", "cy"]).where("ida < idb")
-    ox = F.least(F.expr("xa + wa"), F.expr("xb + wb")) - F.greatest("xa", "xb")
-    oy = F.least(F.expr("ya + ha"), F.expr("yb + hb")) - F.greatest("ya", "yb")
-    met = met.withColumns({"ox": ox, "oy": oy}).where((F.col("ox") > tolerance) & (F.col("oy") > tolerance))
+    side = lambda s: dealt.select("cx", "cy", *[F.col(c).alias(c + s) for c in ("id", "x", "y", "w", "h")], (F.col("x") + F.col("w")).alias("r" + s), (F.col("y") + F.col("h")).alias("l" + s))
+    # An overlap is the least of the four differences; these two are told first, as they part most boxes.
+    apart = [(F.col(far) - F.col(near)) > tolerance for far, near in (("la", "yb"), ("lb", "ya"), ("ra", "xb"), ("rb", "xa"))]
+    met = side("a").join(side("b").hint("merge"), ["cx", "cy"]).where(reduce(and_, apart)).where("ida < idb")
+    ox = F.least("ra", "rb") - F.greatest("xa", "xb")
+    oy = F.least("la", "lb") - F.greatest("ya", "yb")
     corner = (F.floor(F.greatest("xa", "xb") / cell) == F.col("cx")) & (F.floor(F.greatest("ya", "yb") / cell) == F.col("cy"))
-    return met.where(corner)
+    return met.where(corner).withColumns({"ox": ox, "oy": oy}).where((F.col("ox") > tolerance) & (F.col("oy") > tolerance))
 
 
 def overlaps(boxes: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
@@ -27,6 +43,12 @@ def overlaps(boxes: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame
     return _met(boxes, cell, tolerance).select(F.col("ida").alias("a"), F.col("idb").alias("b"), (F.col("ox") * F.col("oy")).alias("area"))
 
 
+def rated_overlaps(boxes: DataFrame, cell: float) -> DataFrame:
+    """(a, b, area, iou) of boxes that overlap."""
+    area, all_ = F.col("ox") * F.col("oy"), F.col("wa") * F.col("ha") + F.col("wb") * F.col("hb")
+    return _met(boxes, cell).select(F.col("ida").alias("a"), F.col("idb").alias("b"), area.alias("area"), (area / (all_ - area)).alias("iou"))
+
+
 def collisions(boxes: DataFrame, cell: float) -> DataFrame:
     """(a, b, ox, oy, dx, dy): overlaps with the shortest vector that parts them, along the smaller overlap and towards b's centre."""
     mid = lambda s, at, size: F.col(at + s) + F.col(size + s) / 2
@@ -35,10 +57,53 @@ def collisions(boxes: DataFrame, cell: float) -> DataFrame:
     return _met(boxes, cell).select(F.col("ida").alias("a"), F.col("idb").alias("b"), "ox", "oy", F.when(flat, push("ox", "x", "w")).otherwise(0.0).alias("dx"), F.when(flat, 0.0).otherwise(push("oy", "y", "h")).alias("dy"))
 
 
-def merged(boxes: DataFrame, cell: float) -> DataFrame:
-    """(id, x, y, w, h, n): overlapping boxes grown into their common frame, again and again until no frames overlap; id is the smallest one."""
-    now = cut(boxes.select("id", "x", "y", "w", "h", F.lit(1).cast("long").alias("n")))
-    while True:
+def _frames(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """The row whose frame each box ends in, after x, y, x2, y2 were grown in place; a finished frame meets no other one that is left."""
+    of, left = np.arange(len(x)), np.arange(len(x))
+    at = 0
+    while at < len(left):
+        i = left[at]
+        met = (np.minimum(x2[left], x2[i]) - np.maximum(x[left], x[i]) > 0) & (np.minimum(y2[left], y2[i]) - np.maximum(y[left], y[i]) > 0)
+        met[at] = False
+        if not met.any():
+            at += 1
+            continue
+        rows = left[met]
+        x[i], y[i] = min(x[i], x[rows].min()), min(y[i], y[rows].min())
+        x2[i], y2[i] = max(x2[i], x2[rows].max()), max(y2[i], y2[rows].max())
+        of[rows] = i
+        at -= int(met[:at].sum())
+        left = left[~met]
+    while (of != of[of]).any():
+        of = of[of]
+    return of
+
+
+def _merged_within(boxes: DataFrame, *by: Column) -> DataFrame:
+    """Boxes (id, x, y, w, h, n) merged as far as they are in one group."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].to_numpy(float, copy=True), pdf["y"].to_numpy(float, copy=True)
+        x2, y2 = x + pdf["w"].to_numpy(float), y + pdf["h"].to_numpy(float)
+        of = _frames(x, y, x2, y2)
+        told = pdf.groupby(of)[["id", "n"]].agg({"id": "min", "n": "sum"})
+        at = told.index.to_numpy()
+        return pd.DataFrame({"id": told["id"].to_numpy(), "x": x[at], "y": y[at], "w": x2[at] - x[at], "h": y2[at] - y[at], "n": told["n"].to_numpy()})
+
+    grouped = boxes.withColumns({f"_{k}": c for k, c in enumerate(by)}).groupBy(*[f"_{k}" for k in range(len(by))])
+    return grouped.applyInPandas(run, boxes.schema)
+
+
+def merged(boxes: DataFrame, cell: float, few: int = 20_000) -> DataFrame:
+    """(id, x, y, w, h, n): overlapping boxes grown into their common frame, again and again until no frames overlap; id is the smallest one.
+
+    Whatever the order, the frames in the end are the same. So those of a grid cell are merged first, which leaves few where boxes lie close;
+    at most `few` frames are then merged in one task, more by rounds of joins.
+    """
+    now = boxes.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], F.lit(1).cast("long").alias("n"))
+    now = cut(_merged_within(now, F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)))
+    while now.count() > few:
         links = cut(overlaps(now, cell).select("a", "b"))
         if not links.take(1):
             return now
@@ -46,6 +111,7 @@ def merged(boxes: DataFrame, cell: float) -> DataFrame:
         at = now.join(of, "id", "left").withColumn("to", F.coalesce("component", "id"))
         grown = at.groupBy("to").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.sum("n").alias("n"))
         now = cut(grown.select(F.col("to").alias("id"), "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"), "n"))
+    return _merged_within(now, F.lit(0))
 
 
 def covered(boxes: DataFrame, width: int, height: int) -> DataFrame:

@@ -27,8 +27,7 @@ def layout_overlaps_tolerant(spark, d):
 @query(f"with {_OVER}, s as (select *, area / (sa + sb - area) as iou from o) select count(*) as n_overlaps, round(coalesce(sum(area), 0), 6) as total_area, round(coalesce(max(iou), 0), 6) as max_iou, round(coalesce(avg(iou), 0), 6) as mean_penalty, count(*) = 0 as is_valid from s where iou >= 0.05 and area >= 20")
 def layout_overlap_summary(spark, d):
     boxes = _boxes(spark, d)
-    pairs = layout.with_iou(layout.overlaps(boxes, 64.0), boxes)
-    return _r(layout.overlap_summary(layout.significant_overlaps(pairs, 0.05, 20.0)), "total_area", "max_iou", "mean_penalty")
+    return _r(layout.overlap_summary(layout.significant_overlaps(layout.rated_overlaps(boxes, 64.0), 0.05, 20.0)), "total_area", "max_iou", "mean_penalty")
 
 
 @query()
