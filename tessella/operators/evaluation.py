@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import BUCKETS
-from .ranking import canonical, distance_join
+from .ranking import canonical, near_pairs
 
 
 def pair_metrics(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -80,10 +80,10 @@ def reconstruction(predicted: DataFrame, truth: DataFrame, tolerance: float = 30
         F.count("*").alias("n_fragments"), zero(F.avg(((F.col("e") < tolerance) & (F.col("t") < degrees)).cast("int"))).alias("direct"), zero(F.avg((F.col("e") < tolerance).cast("int"))).alias("edge_match_rate"),
         zero(F.sqrt(F.avg(F.col("e") ** 2))).alias("rmse"), zero(F.avg("t")).alias("mean_turn"),
     )
-    at = rows.select("id", F.col("tu").alias("x"), F.col("tv").alias("y"))
-    near = distance_join(at, at, 3 * tolerance, strict=True).where("a < b").select("a", "b")
-    place = lambda end: rows.select(F.col("id").alias(end), F.col("pu").alias("u" + end), F.col("pv").alias("v" + end))
-    kept = near.join(place("a"), "a").join(place("b"), "b").select((F.sqrt((F.col("ua") - F.col("ub")) ** 2 + (F.col("va") - F.col("vb")) ** 2) < 4 * tolerance).cast("int").alias("k"))
+    at = rows.select("id", F.col("tu").alias("x"), F.col("tv").alias("y"), F.col("pu").alias("u"), F.col("pv").alias("v"))
+    near = near_pairs(at, 3 * tolerance, strict=True, carry="uv")  # counted where they meet: pairs are neither sent nor kept
+    du, dv = F.col("u1") - F.col("u2"), F.col("v1") - F.col("v2")
+    kept = near.select((F.sqrt(du * du + dv * dv) < 4 * tolerance).cast("int").alias("k"))
     pairs = kept.agg(F.count("*").alias("n_pairs"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_kept"))
     out = sums.crossJoin(F.broadcast(pairs))
     share = F.when(F.col("n_fragments") == 0, 0.0).when(F.col("n_pairs") == 0, 1.0).otherwise(F.col("n_kept") / F.col("n_pairs"))
