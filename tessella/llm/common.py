@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -73,6 +75,10 @@ def is_empty(df: DataFrame) -> bool:
 
 
 _HELD: dict[Any, Any] = {}
+#: Seconds that an idle worker keeps its tables: longer than from one task to the next of a stage, shorter than a stage.
+IDLE_S = 2.0
+_LOCK = threading.Lock()
+_TASKS = {"open": 0, "begun": 0}
 
 
 def worker_table(key: Any, build: Callable[[], Any]) -> Any:
@@ -83,20 +89,43 @@ def worker_table(key: Any, build: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
-def lean(parts: Iterable[Any]) -> Iterator[Any]:
-    """The items; behind the last one the worker gives freed memory back, as it lives on beside the next tasks."""
+def _give_back() -> None:
+    """Hands freed memory to the system, as the worker lives on beside the next tasks and stages."""
     import ctypes
 
     import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def _expire(begun: int) -> None:
+    """Drops the tables unless a task has begun since."""
+    with _LOCK:
+        if _TASKS["open"] or _TASKS["begun"] != begun:
+            return
+        _HELD.clear()
+    gc.collect()
+    _give_back()
+
+
+def lean(parts: Iterable[Any]) -> Iterator[Any]:
+    """The items; behind the last one the worker gives freed memory back, and its tables too if no task follows within IDLE_S."""
+    with _LOCK:
+        _TASKS["open"] += 1
+        _TASKS["begun"] += 1
     try:
         yield from parts
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        with _LOCK:
+            _TASKS["open"] -= 1
+            later = threading.Timer(IDLE_S, _expire, [_TASKS["begun"]])
+        later.daemon = True
+        later.start()
+        _give_back()
 
 
 def slices(batch, rows: int = 256, most_bytes: int = 4 << 20) -> Iterator[Any]:

@@ -201,7 +201,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """pairs(a, b) with the number of equal sketch bytes, without those that the sketches rule out."""
     x = reps.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     y = reps.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", _matches("sa", "sb").alias("matches"))
+    # Else the planner calls it twice, for the column and below it for the condition, each time in a Python worker of its own.
+    once = _matches.asNondeterministic()
+    found = pairs.join(x, "a").join(y, "b").select("a", "b", once("sa", "sb").alias("matches"))
     return found.where(F.col("matches") >= plan.least_matches)
 
 

@@ -289,10 +289,15 @@ def keep_good(docs: DataFrame, field: Field, threshold: float = 0.3) -> DataFram
     while name in docs.columns:
         name += "_"
 
-    @F.pandas_udf("double")
-    def quality(text):
+    def run(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        return pd.Series(np.concatenate([field.quality(text.iloc[i : i + 128].tolist()) for i in range(0, len(text), 128)]) if len(text) else np.zeros(0))
+        for text in batches:
+            parts = [field.quality(text.iloc[i : i + 128].tolist()) for i in range(0, len(text), 128)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+
+    @F.pandas_udf("double", F.PandasUDFType.SCALAR_ITER)
+    def quality(batches):
+        return lean(run(batches))
 
     return docs.withColumn(name, quality(F.col("text"))).where(F.col(name) >= threshold).select(*docs.columns)
