@@ -6,9 +6,12 @@ pieces within a paragraph that is a known licence sentence gets its identifier,
 ";" or ":" inside are known too. A paragraph ends at a line without letters and digits. Known sentences are fixed texts, fixed texts with a
 blank ("*": 1 to 12 words, such as a holder's name) and references, which a grammar of prefixes, verbs and licence names makes.
 
+A reference to several licences ("MIT or Apache-2.0", also as an SPDX expression) is a sentence of each, in their order; exceptions
+("with ...") belong to no name.
+
 A rule is an ordered list of identifiers; the list of a document's identifiers is matched from left to right, at each place by
 the longest rule whose sentences follow one another with at most `gap` words of other text between. Texts without any of the anchor
-words that every known sentence holds are told apart without being split.
+words, of which every known sentence holds one, have no match and aren't split.
 
 Defined results: null and empty texts have no licence; every match is told in order with its character span, repeated ones too;
 at one place the rule with most sentences wins, then the one listed first; very long texts are read whole, sentences of any
@@ -153,11 +156,15 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("ofl-1.1-text", "OFL-1.1", ("ofl-title",)),
     ("artistic-2.0-text", "Artistic-2.0", ("artistic2-title", "everyone-verbatim")),
 )
-#: Every known sentence holds one of these, before or after spellings are made one.
-ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "advertising", "permitted", "cc0", "liable", "mpl")
+#: What a reference says of a work, before "under" or "by".
+VERBS = ("licensed", "released", "distributed", "published", "available", "made available", "free software licensed", "provided", "covered")
+#: Every known sentence holds one of these, before or after spellings are made one: fixed ones, and references by their verb.
+ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "unencumbered", "advertising", "permitted", "cc0", "liable", "mpl", *VERBS)
 
 _SPLIT = re.compile(r"\n|(?<=[.!?;:])\s")
 _NOISE = re.compile(r"[^a-z0-9]+")
+#: "or later" as a sign behind a version, as in "GPL-2.0+".
+_PLUS = re.compile(r"(?<=\d)\+")
 _MARKS = re.compile(r"[^\w(]*(?:\(?(?:\d{1,2}|[a-zA-Z]|[ivx]{1,4})[.)](?=\s|$))?[^\w(]*")
 #: Spellings that are made one, in normalised text.
 _SPELLINGS = ((re.compile(r"\blicence"), "license"), (re.compile(r"\bnon infringement\b"), "noninfringement"), (re.compile(r"\bsub licen[cs]e\b"), "sublicense"), (re.compile(r"\bcopyright c\b"), "copyright"))
@@ -165,7 +172,7 @@ _BLANK = r"\S+(?: \S+){0,11}"
 
 
 def normalised(part: str) -> str:
-    out = _NOISE.sub(" ", part.lower()).strip()
+    out = _NOISE.sub(" ", _PLUS.sub(" plus ", part.lower())).strip()
     for wrong, right in _SPELLINGS:
         out = wrong.sub(right, out)
     return out
@@ -204,7 +211,10 @@ def _known_names() -> dict[str, str]:
 
 
 _WHAT = r"(?:(?:this|the|our|all) (?:\w+ ){0,2}?(?:project|software|program|library|package|work|file|files|code|source code|module|document|documentation|content|repository|font|material|text|article|tool|app|website|data|dataset) (?:is|are) |(?:it|they) (?:is|are) |\S+ is )?"
-_VERB = r"(?:dual |also |hereby )?(?:licensed|released|distributed|published|available|made available|free software licensed|provided|covered) (?:to you )?(?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+_VERB = r"(?:dual |also |hereby )?(?:" + "|".join(VERBS) + r") (?:to you )?(?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:either (?:of )?|both )?(?:the )?"
+#: Between the names of a reference to several licences.
+_JOINT = r" (?:or|and|and or) (?:the )?"
+_EXCEPTION = r"(?: with (?:\S+ ){1,5}?exception(?: \d+)*)?"
 _FREE = r"\S+(?: \S+){0,5}? is free software you can redistribute it and or modify it under the terms of the (?P<free>gnu (?:lesser |library |affero )?general public license) as published by the free software foundation (?:either )?version (?P<v>\d(?: \d)?)(?: of the license)?(?P<later> or at your option any later version)?"
 
 
@@ -222,7 +232,8 @@ class Recogniser:
         self.blanks = [(k, regex.compile(regex.escape(s, special_only=True).replace(r"\*", _BLANK))) for k, own in sentences.items() for s in own if "*" in s]
         name = regex.compile(r"(?:" + "|".join(sorted(map(regex.escape, self.names), key=len, reverse=True)) + ")").pattern
         spdx = r"spdx license identifier "
-        self.reference = regex.compile(f"(?:{spdx}|{_WHAT}{_VERB}|license )(?P<name>{name})(?: the license| the \\S+ license)?")
+        one = f"(?P<name>{name}){_EXCEPTION}"
+        self.reference = regex.compile(f"(?:{spdx}|{_WHAT}{_VERB}|license ){one}(?:{_JOINT}{one})*(?: the license| the \\S+ license| licenses)?")
         self.free = regex.compile(_FREE)
         self.gap = gap
         self.by_first: dict[str, list] = {}
@@ -236,10 +247,10 @@ class Recogniser:
             self.by_first.setdefault(f"free:{licence}", []).extend([(f"{base}-notice", licence, (f"free:{licence}", "gpl-hope")), (f"{base}-free", licence, (f"free:{licence}",))])
 
     def identify(self, run: str) -> str | None:
-        """The identifier of a normalised sentence."""
+        """The identifier of a normalised sentence; those of a reference to several licences with "|" between."""
         known = self.ids.get(run)
         if known is None and (m := self.reference.fullmatch(run)):
-            known = "ref:" + self.names[m["name"]]
+            known = "|".join(dict.fromkeys("ref:" + self.names[n] for n in m.captures("name")))
         if known is None and (m := self.free.fullmatch(run)):
             short = {"gnu general public license": "GPL", "gnu affero general public license": "AGPL"}.get(m["free"], "LGPL")
             version = m["v"].replace(" ", ".")
@@ -278,9 +289,9 @@ class Recogniser:
                 if not self.goes_on(run):
                     break
                 if (known := self.identify(run)) is not None:
-                    best = (k, (words[i], words[k + 1], known, pieces[i][1], end))
+                    best = (k, [(words[i], words[k + 1], one, pieces[i][1], end) for one in known.split("|")])
             if best:
-                found.append(best[1])
+                found += best[1]
             i = best[0] + 1 if best else i + 1
         return found
 
